@@ -73,6 +73,18 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def pieces(batch, column: int, most: int = 2 << 20):
+    """Slices of an Arrow batch of about `most` bytes of text each, so that what Python holds is bounded by bytes."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    size = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.binary())), 0).to_numpy(zero_copy_only=False)
+    group = np.cumsum(size.astype(np.int64)) // most
+    cuts = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(size)) if len(size) else []
+    for lo, hi in zip(cuts[:-1], cuts[1:]):
+        yield batch.slice(int(lo), int(hi - lo))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of longs: (node, component), component the smallest node.
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-FLUSH = 1_500_000
+FLUSH = 1_000_000
 _ODD = np.random.default_rng(20240601).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOW = np.uint64((1 << 48) - 1)
 _SHARED = np.uint64(0xFFFF)
@@ -134,7 +134,7 @@ def _flush(ids, sets, parts):
 def _mapper(n: int, parts: int):
     def run(batches):
         ids, sets, held = [], [], 0
-        for batch in batches:
+        for batch in (x for whole in batches for x in c.pieces(whole, 1)):
             texts = c.as_bytes(batch.column(1))
             words = [t.lower().split() for t in texts]
             starts = np.cumsum([0] + [len(w) for w in words])
