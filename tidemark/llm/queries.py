@@ -27,6 +27,18 @@ def op3_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(linked_secrets(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links)}
+def op9_hilbert_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert_shard import hilbert_shards, report
+
+    return report(hilbert_shards(_table(spark, sf_dir, "documents")))
+
+
+def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mix_flow import mix, report
+
+    return report(mix(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op9_hilbert_shard, op10_mix_flow)}
 
 ORACLE_SQL: dict[str, str] = {}
