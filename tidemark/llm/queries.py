@@ -27,6 +27,18 @@ def op3_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(linked_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op5_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdtree_topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_bloom import judge, report
+
+    return report(judge(_table(spark, sf_dir, "pages")))
+
+
 def op9_hilbert_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert_shard import hilbert_shards, report
 
@@ -39,6 +51,6 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op9_hilbert_shard, op10_mix_flow)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op5_kdtree_topk, op7_url_bloom, op9_hilbert_shard, op10_mix_flow)}
 
 ORACLE_SQL: dict[str, str] = {}
