@@ -27,6 +27,12 @@ def op3_credential_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(linked_secrets(_table(spark, sf_dir, "documents")))
 
 
+def op4_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_fm import quality
+
+    return quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .kdtree_topk import top_k
 
@@ -51,6 +57,6 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op5_kdtree_topk, op7_url_bloom, op9_hilbert_shard, op10_mix_flow)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op4_quality_fm, op5_kdtree_topk, op7_url_bloom, op9_hilbert_shard, op10_mix_flow)}
 
 ORACLE_SQL: dict[str, str] = {}
