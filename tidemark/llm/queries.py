@@ -45,6 +45,12 @@ def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(judge(_table(spark, sf_dir, "pages")))
 
 
+def op8_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_normalise import round_trip
+
+    return round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op9_hilbert_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .hilbert_shard import hilbert_shards, report
 
@@ -57,6 +63,6 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op4_quality_fm, op5_kdtree_topk, op7_url_bloom, op9_hilbert_shard, op10_mix_flow)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op4_quality_fm, op5_kdtree_topk, op7_url_bloom, op8_warc_normalise, op9_hilbert_shard, op10_mix_flow)}
 
 ORACLE_SQL: dict[str, str] = {}
