@@ -39,6 +39,12 @@ def op5_kdtree_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_crf import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_bloom import judge, report
 
@@ -63,6 +69,6 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op4_quality_fm, op5_kdtree_topk, op7_url_bloom, op8_warc_normalise, op9_hilbert_shard, op10_mix_flow)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op4_quality_fm, op5_kdtree_topk, op6_pii_crf, op7_url_bloom, op8_warc_normalise, op9_hilbert_shard, op10_mix_flow)}
 
 ORACLE_SQL: dict[str, str] = {}
