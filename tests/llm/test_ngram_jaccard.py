@@ -65,3 +65,27 @@ def test_threshold_is_inclusive(spark):
     two = words[:12] + ["z"]  # 8 shared of 10: exactly 0.8
     rows = [(1, " ".join(words)), (2, " ".join(two)), (3, " ".join(one[:9]))]
     assert run(spark, rows) == brute(rows)
+
+
+def test_a_cloud_of_near_copies_takes_several_stars(spark):
+    rng = random.Random(9)
+    vocab = [f"v{i}" for i in range(3000)]
+    seedling = [rng.choice(vocab) for _ in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(seedling)
+        for _ in range(rng.randint(0, 2)):
+            words[rng.randrange(60)] = rng.choice(vocab)
+        rows.append((i, " ".join(words)))
+    assert run(spark, rows) == brute(rows)
+
+
+def test_one_row_of_each_group_stays(spark):
+    from tidemark.llm.ngram_jaccard import first_of_groups
+
+    rows = [(3, "a b c d e f"), (1, "A b c d e f"), (None, "a b c d e f"), (None, "only null"), (None, "only null"), (5, "other words"), (5, "third text"), (5, "third text"), (7, None), (7, ""), (8, "")]
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, comp string, n long")
+    out = first_of_groups(df)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, "A b c d e f"), (None, "only null"), (5, "other words"), (5, "third text"), (7, None), (7, ""), (8, "")], key=str)

@@ -9,12 +9,13 @@ Plan, each step a shuffle of bounded units:
    `threshold` of its set shared has no partner and is done.
 3. Remaining classes enter tiles: (shingle of the prefix, size band).  Bands double in size; a set near a band's top
    also visits the next.  By the prefix principle all partners meet in some tile.
-4. First each class is compared with one pivot of its tiles (a star, linear in rows) and what links is contracted.
-   Then only pairs of different components in a tile are left; parity bitmaps bound their overlap from above,
-   (c1 + c2 - hamming) / 2, before the exact intersection of the sorted arrays.
+4. First each class is compared with one pivot of its tiles (a star, linear in rows) and what links is contracted;
+   where large tiles still hold many components, with further pivots while that helps.  Then only pairs of
+   different components in a tile are left; parity bitmaps bound their overlap from above, (c1 + c2 - hamming) / 2,
+   before the exact intersection of the sorted arrays.
 
 Nothing is dropped or capped: a link between classes of one component is redundant for components, all others are
-verified exactly.  Shingles and classes are 64-bit hashes (shared shingles compare by 48 bits and their range's number).
+verified exactly.  Shingles and classes are 64-bit hashes; a shared shingle goes by 40 bits and its range's number.
 
 Edge cases: null or wordless text has an empty set and links with nothing; texts shorter than `n` words are one
 shingle; repeated rows and equal texts share a class; a null id takes part but is never a component's id (which is
@@ -25,14 +26,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _common as c
 
 FLUSH = 1_000_000
+WORDS = 8  # of a bitmap
 _ODD = np.random.default_rng(20240601).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_LOW = np.uint64((1 << 48) - 1)
+_KEPT = np.uint64(40)  # bits that name a shingle within its range
+_LOW = np.uint64((1 << 40) - 1)
 _SHARED = np.uint64(0xFFFF)
 PACKED = "part int, kind int, a binary, b binary, d binary"
 
@@ -49,8 +52,8 @@ def shingles(words: np.ndarray, starts: np.ndarray, n: int) -> list[np.ndarray]:
         if hi - lo >= n:
             out.append(np.unique(whole[lo : hi - n + 1]))
         elif hi > lo:
-            short = (words[lo:hi] * _ODD[: hi - lo]).sum(dtype=np.uint64) + _ODD[32 + (hi - lo) % 32]
-            out.append(c.mix(np.array([short], np.uint64)))
+            short = np.append(words[lo:hi] * _ODD[: hi - lo], _ODD[32 + (hi - lo) % 32]).sum(dtype=np.uint64, keepdims=True)
+            out.append(c.mix(short))
         else:
             out.append(np.empty(0, np.uint64))
     return out
@@ -60,8 +63,8 @@ def class_of(s: np.ndarray) -> int:
     """A hash of a set, never 0; 0 is the empty set's."""
     if not len(s):
         return 0
-    total = c.mix(s ^ _ODD[60]).sum(dtype=np.uint64) + np.uint64(len(s)) * _ODD[61]
-    return int(c.mix(np.array([total], np.uint64))[0]) or 1
+    total = c.mix(s ^ _ODD[60]).sum(dtype=np.uint64, keepdims=True) + np.array([len(s)], np.uint64) * _ODD[61]
+    return int(c.mix(total)[0]) or 1
 
 
 def _row(part, kind, a, b=b"", d=b""):
@@ -89,19 +92,29 @@ def _by_class(classes: np.ndarray, tokens: np.ndarray, parts: int, kind: int):
         yield _row(p, kind, uniq[lo:hi].tobytes(), counts.tobytes(), tokens[first[lo] : ends[hi - 1]].tobytes())
 
 
-def _docs_by_class(ids, valid, classes, sizes, parts):
+def _docs_by_class(ids, valid, keys, classes, sizes, parts):
     to = (classes >> np.uint64(48)).astype(np.int64) * parts >> 16
     for p in np.unique(to).tolist():
         m = to == p
-        yield _row(p, 2, np.stack([ids[m], valid[m]]).tobytes(), classes[m].tobytes(), sizes[m].tobytes())
+        yield _row(p, 2, np.stack([ids[m], valid[m], keys[m]]).tobytes(), classes[m].tobytes(), sizes[m].tobytes())
 
 
-def _flush(ids, sets, parts):
+def _squeeze(sorted_tokens: np.ndarray) -> bytes:
+    """Sorted 40-bit numbers as all their high bytes, which compress to almost nothing, then their low words."""
+    return (sorted_tokens >> np.uint64(32)).astype(np.uint8).tobytes() + sorted_tokens.astype(np.uint32).tobytes()
+
+
+def _loosen(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint32, n, n)
+
+
+def _flush(ids, keys, sets, parts):
     classes = np.array([class_of(s) for s in sets], np.uint64)
     sizes = np.array([len(s) for s in sets], np.int64)
     known = np.array([i is not None for i in ids], np.int64)
     own = np.array([i or 0 for i in ids], np.int64)
-    yield from _docs_by_class(own, known, classes, sizes, parts)
+    yield from _docs_by_class(own, known, np.array(keys, np.int64), classes, sizes, parts)
     uniq, first = np.unique(classes, return_index=True)
     first = first[uniq > 0]
     uniq = uniq[uniq > 0]
@@ -116,39 +129,39 @@ def _flush(ids, sets, parts):
     lead = met & ~np.append(False, same)
     shift = np.uint64(64 - (parts.bit_length() - 1))
     if met.any():
-        named = tok[met] & _LOW | (tok[met] >> shift) << np.uint64(48)
+        named = tok[met] & _LOW | (tok[met] >> shift) << _KEPT
         yield from _by_class(uniq[idx[met].astype(np.int64)], named, parts, 1)
     keep = ~met | lead
     tok, idx = tok[keep], np.where(lead[keep], _SHARED, idx[keep])
-    to = (tok >> shift).astype(np.int64)
-    cuts = np.searchsorted(to, np.arange(parts + 1))
-    packed = (tok & _LOW) << np.uint64(16) | idx
+    cuts = np.searchsorted((tok >> shift).astype(np.int64), np.arange(parts + 1))
     for p in np.flatnonzero(np.diff(cuts)).tolist():
-        part = packed[cuts[p] : cuts[p + 1]]
-        used, inverse = np.unique(part & _SHARED, return_inverse=True)  # only the classes this part needs
+        own, at = tok[cuts[p] : cuts[p + 1]] & _LOW, idx[cuts[p] : cuts[p + 1]]
+        order = np.argsort(own)
+        used, inverse = np.unique(at[order], return_inverse=True)  # only the classes this part needs
         real = used != _SHARED
         names = np.where(real, uniq[np.where(real, used, np.uint64(0)).astype(np.int64)], np.uint64(0))
-        yield _row(p, 0, ((part & ~_SHARED) | inverse.astype(np.uint64)).tobytes(), names.tobytes())
+        yield _row(p, 0, _squeeze(own[order]), names.tobytes(), inverse.astype(np.uint16).tobytes())
 
 
 def _mapper(n: int, parts: int):
     def run(batches):
-        ids, sets, held = [], [], 0
+        ids, keys, sets, held = [], [], [], 0
         for batch in (x for whole in batches for x in c.pieces(whole, 1)):
             texts = c.as_bytes(batch.column(1))
             words = [t.lower().split() for t in texts]
             starts = np.cumsum([0] + [len(w) for w in words])
             hashed = c.hash_words([x for w in words for x in w])
             new = shingles(hashed, starts, n)
-            for i, s in zip(batch.column(0).to_pylist(), new):
+            for i, k, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), new):
                 ids.append(i)
+                keys.append(k)
                 sets.append(s)
                 held += len(s)
                 if held >= FLUSH or len(ids) >= 60_000:
-                    yield _batch(list(_flush(ids, sets, parts)))
-                    ids, sets, held = [], [], 0
+                    yield _batch(list(_flush(ids, keys, sets, parts)))
+                    ids, keys, sets, held = [], [], [], 0
         if ids:
-            yield _batch(list(_flush(ids, sets, parts)))
+            yield _batch(list(_flush(ids, keys, sets, parts)))
 
     return run
 
@@ -162,9 +175,8 @@ def _share(parts: int):
             if kind:
                 out.append(_row(key[0].as_py(), kind, a, b, d))
             else:
-                u = np.frombuffer(a, np.uint64)
-                toks.append(u >> np.uint64(16))
-                owners.append(np.frombuffer(b, np.uint64)[(u & _SHARED).astype(np.int64)])
+                toks.append(_loosen(a))
+                owners.append(np.frombuffer(b, np.uint64)[np.frombuffer(d, np.uint16)])
         if toks:
             tok, own = np.concatenate(toks), np.concatenate(owners)
             order = np.argsort(tok)
@@ -173,7 +185,7 @@ def _share(parts: int):
             many = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
             shared = np.repeat(many, np.diff(np.append(at, len(tok)))) & (own > 0)
             if shared.any():
-                full = tok[shared] | np.uint64(key[0].as_py()) << np.uint64(48)
+                full = tok[shared] | np.uint64(key[0].as_py()) << _KEPT
                 out += _by_class(own[shared], full, parts, 1)
         return pa.Table.from_batches([_batch(out)])
 
@@ -184,10 +196,11 @@ def _gather(need_of):
     """Of one range of classes: its documents (kind 0), and classes with enough shared shingles (kind 1)."""
 
     def run(key, table):
-        ids, doc_class, doc_n, classes, tokens = [], [], [], [], []
+        ids, keys, doc_class, doc_n, classes, tokens = [], [], [], [], [], []
         for kind, a, b, d in zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "d"))):
             if kind == 2:
-                own, known = np.frombuffer(a, np.int64).reshape(2, -1)
+                own, known, key_of = np.frombuffer(a, np.int64).reshape(3, -1)
+                keys.append(key_of)
                 ids.append(pa.array(own, mask=known == 0))
                 doc_class.append(np.frombuffer(b, np.uint64))
                 doc_n.append(np.frombuffer(d, np.int64))
@@ -217,6 +230,7 @@ def _gather(need_of):
         return pa.table({
             "kind": pa.array(np.repeat([0, 1], [len(cls), k]), pa.int32()),
             "id": pa.concat_arrays([out_ids, pa.nulls(k, pa.int64())]),
+            "key": pa.concat_arrays([pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)), pa.nulls(k, pa.int64())]),
             "cls": pa.array(signed),
             "n": pa.array(np.concatenate([n, np.array(kept_n, np.int64)])),
             "toks": pa.concat_arrays([pa.nulls(len(cls), pa.binary()), pa.array(kept_t, pa.binary())]),
@@ -226,36 +240,34 @@ def _gather(need_of):
 
 
 def bitmap(tokens: np.ndarray) -> np.ndarray:
-    """256 parity bits of a token array, as four words."""
-    bit = (c.mix(tokens) & np.uint64(255)).astype(np.int64)
-    return np.packbits((np.bincount(bit, minlength=256) & 1).astype(np.uint8)).view(np.int64)
+    """Parity bits of a token array, as words of 64."""
+    bit = (c.mix(tokens) & np.uint64(64 * WORDS - 1)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=64 * WORDS) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _bitmaps(batches):
+    """(cls, n, c, b0, b1, ...) of each class."""
+    for batch in batches:
+        tokens = [np.frombuffer(raw, np.uint64) for raw in batch.column(2).to_pylist()]
+        bits = np.array([bitmap(t) for t in tokens], np.int64).reshape(-1, WORDS)
+        size = pa.array([len(t) for t in tokens], pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], ["cls", "n", "c", *(f"b{i}" for i in range(WORDS))])
 
 
 def _tiles(pct: int):
-    """Prefix rows: (tok, band, cls, n, c, b0..b3)."""
+    """Prefix rows: (tok, band, cls, pos), pos the token's place in the class."""
 
     def run(batches):
         for batch in batches:
-            rows = [[] for _ in range(5)]
-            maps = []
-            for cls, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                t = np.frombuffer(raw, np.uint64)
-                prefix = t[: len(t) - -(-pct * n // 100) + 1].view(np.int64)
-                band = n.bit_length()
-                bands = [band] + [band + 1] * (100 * n >= pct * (1 << band))
-                bits = bitmap(t)
-                for x in bands:
-                    k = len(prefix)
-                    rows[0].append(prefix)
-                    for r, v in zip(rows[1:], (x, cls, n, len(t))):
-                        r.append(np.full(k, v, np.int64))
-                    maps.append(np.tile(bits, (k, 1)))
-            if not maps:
-                continue
-            bits = np.concatenate(maps)
-            flat = [np.concatenate(r) for r in rows]
-            names = ["tok", "band", "cls", "n", "c", "b0", "b1", "b2", "b3"]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*flat, *(np.ascontiguousarray(bits[:, i]) for i in range(4))]], names)
+            tok, size, band, cls, pos = [], [], [], [], []
+            for name, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                t = np.frombuffer(raw, np.int64)
+                prefix = t[: len(t) - -(-pct * n // 100) + 1]
+                top = n.bit_length()
+                for x in [top] + [top + 1] * (100 * n >= pct * (1 << top)):
+                    tok.append(prefix), size.append(len(prefix)), band.append(x), cls.append(name), pos.append(np.arange(len(prefix)))
+            if tok:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tok)), pa.array(np.repeat(band, size), pa.int64()), pa.array(np.repeat(cls, size), pa.int64()), pa.array(np.concatenate(pos), pa.int64())], ["tok", "band", "cls", "pos"])
 
     return run
 
@@ -281,46 +293,98 @@ def _links(pairs: DataFrame, held: DataFrame, pct: int) -> DataFrame:
     return full.mapInArrow(_verify(pct), "a long, b long")
 
 
+def _nearest(star: DataFrame) -> DataFrame:
+    """Of (tok, band, cls, pivot): for each class the pair (a, b) with the pivot it shares most tiles with."""
+    shared = star.groupBy("cls", "pivot").agg(F.count("*").alias("shared"))
+    best = shared.groupBy("cls").agg(F.max_by("pivot", F.struct("shared", "pivot")).alias("a"))
+    return best.select("a", F.col("cls").alias("b"))
+
+
+def _label(held: DataFrame, found: DataFrame) -> DataFrame:
+    """(cls, comp, weight): each class's component so far and the component's size."""
+    found = c.materialize(found, "groups")
+    weight = found.groupBy("component").agg(F.count("*").alias("weight"))
+    own = held.select("cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").join(weight, "component", "left")
+    return own.select("cls", F.coalesce("component", "cls").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+
+
+def _mixed(tiles: DataFrame, label: DataFrame) -> tuple[DataFrame, int, int]:
+    """Rows of tiles with several components (big: the largest of them); pairs and rows at stake."""
+    placed = tiles.join(label, "cls")
+    by = placed.groupBy("tok", "band", "comp").agg(F.count("*").alias("m"), F.max("weight").alias("weight"))
+    by = by.groupBy("tok", "band").agg(F.sum("m").alias("m"), F.max_by(F.struct("comp", "m"), F.struct("weight", "comp")).alias("big"), F.count("*").alias("comps"))
+    by = by.where("comps > 1").select("tok", "band", F.col("big.comp").alias("big"), ((F.col("m") - F.col("big.m")) * F.col("m")).alias("pairs"), "m")
+    apart = c.materialize(placed.join(by, ["tok", "band"]), "apart")
+    sums = apart.agg(F.sum(F.col("pairs") / F.col("m")), F.count("*")).first()
+    return apart.drop("pairs", "m", "weight"), int(sums[0] or 0), sums[1]
+
+
+def text_key(text_col: str = "text"):
+    """By this and the id, a text's row finds its result again without the text."""
+    return F.xxhash64(c.text_of(text_col))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, pct: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, class_id; sets link at 100 * |A and B| >= pct * |A or B|."""
+    """One row per input row: id, n_shingles, component_id, class_id, text_key; sets link at 100 * |A and B| >= pct * |A or B|."""
     parts = c.partitions_for(docs, 16 << 20)
     need = lambda m, pct=pct: max(1, -(-pct * m // 100))
-    flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
     packed = flat.mapInArrow(_mapper(n, parts), PACKED)
     shared = packed.groupBy("part").applyInArrow(_share(parts), PACKED)
-    gathered = shared.groupBy("part").applyInArrow(_gather(need), "kind int, id long, cls long, n long, toks binary")
+    gathered = shared.groupBy("part").applyInArrow(_gather(need), "kind int, id long, key long, cls long, n long, toks binary")
     gathered = c.materialize(gathered, "shingles", "kind")
-    rows = gathered.where("kind = 0").select("id", "cls", "n")
+    rows = gathered.where("kind = 0").select("id", "key", "cls", "n")
     held = gathered.where("kind = 1").select("cls", "n", "toks")
-    tiles = held.mapInArrow(_tiles(pct), "tok long, band long, cls long, n long, c long, b0 long, b1 long, b2 long, b3 long")
-
-    # the star: one pivot for each class, the least of its tiles
-    slim = tiles.select("tok", "band", "cls")
-    meet = slim.groupBy("tok", "band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last")).where("pivot <> last")
-    star = slim.join(meet, ["tok", "band"]).groupBy("cls").agg(F.min("pivot").alias("pivot")).where("cls <> pivot")
-    near = c.materialize(_links(star.select(F.col("pivot").alias("a"), F.col("cls").alias("b")), held, pct), "star")
-    found = c.materialize(c.components(near), "groups")
-
-    # what the star left apart: pairs of different components, of which one is not the tile's largest
-    weight = found.groupBy("component").agg(F.count("*").alias("weight"))
-    label = held.select("cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").join(weight, "component", "left")
-    label = label.select("cls", F.coalesce("component", "cls").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
-    placed = tiles.join(label, "cls")
-    mixed = placed.groupBy("tok", "band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max_by("comp", F.struct("weight", "comp")).alias("big"))
-    mixed = mixed.where("lo <> hi").select("tok", "band", "big")
-    apart = c.materialize(placed.join(mixed, ["tok", "band"]).drop("weight"), "apart")
+    tiles = held.mapInArrow(_tiles(pct), "tok long, band long, cls long, pos long")
+
+    # the star: each class meets one pivot, the one it shares most tiles with
+    meet = tiles.groupBy("tok", "band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"), F.count("*").alias("m")).where("pivot <> last")
+    star = tiles.join(meet.select("tok", "band", "pivot"), ["tok", "band"]).where("cls <> pivot")
+    links = c.materialize(_links(_nearest(star), held, pct), "links")
+    label = _label(held, c.components(links))
+    apart, rest, all_rows = _mixed(tiles, label)
+
+    # more stars while many pairs of different components are left and stars still make them much fewer
+    turn, before = 0, 2 * rest
+    while rest > 2 * all_rows and 4 * rest < 3 * before:
+        turn, before = turn + 1, rest
+        big = apart.where("comp = big").groupBy("tok", "band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
+        star = apart.where("comp <> big").select("tok", "band", "cls").join(big, ["tok", "band"])
+        links = links.union(c.materialize(_links(_nearest(star), held, pct), "links"))
+        label = _label(held, c.components(links))
+        apart, rest, all_rows = _mixed(apart.select("tok", "band", "cls", "pos"), label)
+
+    # what is left: pairs of different components in a tile, of which one is not the tile's largest
+    sketch = held.join(apart.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "toks").mapInArrow(_bitmaps, "cls long, n long, c long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
+    apart = apart.join(sketch, "cls")
     l, r = apart.where("comp <> big").alias("l"), apart.alias("r")
-    hamming = sum((F.bit_count(F.col(f"l.b{i}").bitwiseXOR(F.col(f"r.b{i}"))) for i in range(4)), F.lit(0))
-    bound = (F.col("l.c") + F.col("r.c") - hamming) / 2  # never below the overlap
+    hamming = sum((F.bit_count(F.col(f"l.b{i}").bitwiseXOR(F.col(f"r.b{i}"))) for i in range(WORDS)), F.lit(0))
+    # neither is below the overlap; the second holds in the pair's first common tile, where the pair must come up
+    bound = F.least((F.col("l.c") + F.col("r.c") - hamming) / 2, F.col("l.c") - F.col("l.pos"), F.col("r.c") - F.col("r.pos"))
     ordered = (F.col("r.comp") == F.col("r.big")) | (F.col("l.cls") < F.col("r.cls"))
     fits = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * pct
     more = l.join(r, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & ordered & fits & (bound * (100 + pct) >= (F.col("l.n") + F.col("r.n")) * pct))
     more = more.select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
-    links = c.materialize(near.union(_links(more, held, pct)), "links")
+    links = c.materialize(links.union(_links(more, held, pct)), "links")
     groups = c.components(links).withColumnsRenamed({"node": "cls", "component": "comp"})
 
     rows = rows.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     least = rows.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
     rows = rows.join(least, "comp", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"))
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"), F.col("key").alias("text_key"), "comp")
+
+
+def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, pct: int = 80) -> DataFrame:
+    """The rows of `docs`, columns unchanged, of which one stays of each group: that of the smallest id (null last).
+
+    Rows without words have no group and all stay.  Groups are found on narrow rows; texts move once, to meet the
+    verdict on their id and key.  Of equal rows the window keeps one; it needs no shuffle beyond the join's."""
+    found = similar_groups(docs, id_col, text_col, n, pct).select(F.col(id_col).alias("_id"), F.col("text_key").alias("_key"), (F.col("n_shingles") > 0).alias("_words"), "comp")
+    rank = F.struct(F.col("_id").isNull(), "_id", "_key")
+    first = found.where("_words").groupBy("comp").agg(F.min(rank).alias("r")).select(F.col("r._id").alias("_id"), F.col("r._key").alias("_key"), F.lit(True).alias("_words"))
+    stay = first.union(found.where("not _words").select("_id", "_key", "_words").distinct())
+    keyed = docs.withColumn("_at", text_key(text_col))
+    joined = keyed.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")))
+    nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_words"))
+    return joined.withColumn("_nth", nth).where("_nth = 1 or not _words").select(docs.columns)

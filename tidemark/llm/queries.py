@@ -12,7 +12,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import similar_groups
 
-    return similar_groups(_table(spark, sf_dir, "documents"))
+    return similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
