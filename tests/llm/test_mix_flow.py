@@ -50,3 +50,18 @@ def test_edges(spark):
     assert {(r.doc_id, r.taken) for r in run(spark, [(1, None, "a"), (2, "", None)])} == {(1, 0), (2, 0)}
     df = spark.createDataFrame([(1, "a b c d", ["x", "y"]), (2, "a b", ["x"]), (3, "a", [])], "doc_id long, text string, source array<string>")
     assert {r.doc_id: r.taken for r in m.mix(df, share=1.0).collect()}.keys() == {1, 2, 3}
+
+
+def test_take_repeats_rows_as_planned(spark):
+    rows = [(i, "w " * (i % 7), "s0" if i % 4 else "s1") for i in range(60)] + [(None, "a b", "s1"), (5, "w " * 5, "s0"), (5, "w " * 5, "s0"), (6, None, None)]
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, n_chars int")
+    got = m.take(df)
+    assert got.columns == df.columns
+    words = lambda t: len((t or "").split())
+    want = Counter()
+    for r in m.mix(df).collect():
+        want[str(r.doc_id)] += r.taken
+    have = Counter()
+    for r in got.collect():
+        have[str(r.doc_id)] += words(r.text)
+    assert +have == +want

@@ -124,6 +124,12 @@ def parts_of_flow(supply: dict, quota: dict, layers: int) -> dict:
     return out
 
 
+def drawn(id_col: str, text_col: str, source_col: str, seed: str):
+    """The seeded place of a row in its pattern's order; only rows of equal id, text and source share one."""
+    mark = lambda col: F.coalesce(F.concat(F.lit("="), col), F.lit(""))
+    return F.md5(F.concat_ws("|", F.lit(seed), mark(F.col(id_col).cast("string")), F.md5(c.text_of(text_col).cast("binary")), mark(F.col(source_col).cast("string"))))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", share: float = 1.5, repeats: int = 2, seed: str = "mix", digits: int = 3, max_patterns: int = 100_000) -> DataFrame:
     """One row per input row: id, size, source_size, target, taken (words, repeats counted), times.
 
@@ -133,7 +139,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     many = dict(docs.dtypes)[source_col].startswith("array")
     text = c.text_of(text_col)
     pattern = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col).cast("string"))
-    rows = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), pattern.alias("pattern"), F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text.cast("binary")))).alias("draw"))
+    rows = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), pattern.alias("pattern"), drawn(id_col, text_col, source_col, seed).alias("draw"))
     # a null within a pattern has a name no other value has
     key = F.to_json(F.struct(F.transform("pattern", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))).alias("p")))
     rows = rows.withColumn("key", key).withColumn("slice", F.substring("draw", 1, digits))
@@ -168,3 +174,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def report(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return mixed.select(id_col, "size", "source_size", "target", "taken")
+
+
+def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: str = "mix", **more) -> DataFrame:
+    """The rows of `docs`, columns unchanged, each as often as the mix takes it.
+
+    The plan is made on narrow rows; texts move once, to meet their times by draw.  Equal rows share a draw: one of
+    them stands for all, which a window finds without a shuffle beyond the join's."""
+    times = mix(docs, id_col, text_col, source_col, seed=seed, **more).groupBy("draw").agg(F.sum("times").alias("_times"))
+    times = times.where("_times > 0").select(F.col("draw").alias("_draw"), F.col("_times").cast("int"))
+    joined = docs.withColumn("_own", drawn(id_col, text_col, source_col, seed)).join(times, F.col("_own") == F.col("_draw"))
+    one = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_draw").orderBy("_times"))).where("_nth = 1")
+    return one.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(docs.columns)
