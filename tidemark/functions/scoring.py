@@ -30,11 +30,10 @@ def spread(xs: Column) -> Column:
 
 
 def trend(xs: Column) -> Column:
-    """(mean of the last three - mean of the first three) / mean of six, 0 where that mean is not positive."""
+    """Of six trailing values: (mean of those after the third - mean of the first three) / mean, 0 without income."""
     mean = fixed_mean(xs, 6)
-    last = total(F.slice(xs, F.greatest(F.size(xs) - 2, F.lit(1)), F.lit(3))) / 3.0
-    first = total(F.slice(xs, 1, 3)) / 3.0
-    return F.when(mean <= 0, F.lit(0.0)).otherwise((last - first) / mean)
+    older, recent = total(F.slice(xs, 1, 3)) / 3.0, total(F.slice(xs, 4, 3)) / 3.0
+    return F.when(mean <= 0, F.lit(0.0)).otherwise((recent - older) / mean)
 
 
 def count_positive(xs: Column) -> Column:

@@ -584,7 +584,7 @@ def incomes(spark, d):
 @query("""WITH p AS (SELECT o_custkey, list(CAST(o_orderkey % 1000 AS DOUBLE) ORDER BY strftime(o_orderdate, '%Y-%m') || CAST(o_orderkey AS VARCHAR)) AS xs FROM orders GROUP BY 1),
 t AS (SELECT o_custkey, xs[-12:] AS x12, xs[-6:] AS x6, xs[-3:] AS x3 FROM p)
 SELECT o_custkey, round(list_sum(x3) / 3, 6) AS avg3, round(list_sum(x6) / 6, 6) AS avg6, round(list_sum(x12) / 12, 6) AS avg12, CAST(len(list_filter(x12, lambda x: x > 0)) AS BIGINT) AS months, round(coalesce(sqrt(greatest(list_avg(list_transform(x12, lambda x: x * x)) - list_avg(x12) * list_avg(x12), 0)), 0), 3) AS std,
- CASE WHEN list_sum(x6) / 6 <= 0 THEN 0.0 ELSE round((list_sum(x6[-3:]) / 3 - list_sum(x6[:3]) / 3) / (list_sum(x6) / 6), 6) END AS trend FROM t""")
+ CASE WHEN list_sum(x6) / 6 <= 0 THEN 0.0 ELSE round((coalesce(list_sum(x6[4:6]), 0) / 3 - list_sum(x6[:3]) / 3) / (list_sum(x6) / 6), 6) END AS trend FROM t""")
 def trailing_stats(spark, d):
     p = F.col("periods")
     x12, x6, x3 = (scoring.trailing(p, n) for n in (12, 6, 3))
@@ -601,11 +601,11 @@ def decision_band(spark, d):
     return table(spark, d, "documents").select("doc_id", scoring.decision((F.col("n_chars") % 100) / 100.0 + 0.001).alias("decision"))
 
 
-@query("SELECT c_custkey, round(round(1 / (1 + exp(-((c_acctbal - 4500) / 3000 * 0.8 + c_nationkey * 0.01 - 0.2))), 6), 5) AS pd FROM customer")
+@query("SELECT c_custkey, round(1 / (1 + exp(-((c_acctbal - 4500) / 3000 * 0.8 + c_nationkey * 0.01 - 0.2))), 6) AS pd FROM customer")
 def logistic_scores(spark, d):
     model = models.linear_score({"balance": 0.8, "nation": 0.01}, -0.2)
     cols = {"balance": scoring.standardise(F.col("c_acctbal"), 4500, 3000), "nation": F.col("c_nationkey")}
-    return table(spark, d, "customer").select("c_custkey", F.round(model(cols), 5).alias("pd"))
+    return table(spark, d, "customer").select("c_custkey", model(cols).alias("pd"))
 
 
 # Operations.
