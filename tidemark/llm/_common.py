@@ -33,6 +33,25 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
+    """From now on Arrow batches to and from Python hold `most` bytes, not just a number of rows of any length."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+    return df
+
+
+def release() -> None:
+    """Give freed memory back to the system; workers live on from task to task and would keep their largest."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the input's size; it sets numbers of partitions only, never results."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

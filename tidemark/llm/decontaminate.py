@@ -251,7 +251,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_bytes))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
-    flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    flat = c.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if slices > 1:  # rows need a name by which the passes' results meet
         flat = c.materialize(flat.withColumn("row", F.monotonically_increasing_id()), "rows")
         names = flat.select("row", "id")
@@ -283,7 +283,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     Judges rows where they stand: a whole benchmark of one slice takes no shuffle."""
     total = benchmark.agg(F.sum(F.octet_length(c.text_of("text")))).first()[0] or 0
     slices = max(1, -(-total // slice_bytes))
-    columns = docs.columns
+    columns = c.bounded_batches(docs).columns
     spot = columns.index(text_col)
     for k in range(slices):
         bench = benchmark.select(F.col("item_id").cast("long").alias("item"), c.text_of("text").alias("text")).where("item is not null")

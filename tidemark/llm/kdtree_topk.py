@@ -129,7 +129,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     base = base.select(F.col(id_col).cast("long").alias("id"), x.alias("x"), F.monotonically_increasing_id().alias("row"))
     whole = F.transform("x", lambda e: F.when(F.abs(e) < 2.0**44, F.floor(e * float(scale)).cast("double")).otherwise(e * float(scale)))
     base = c.materialize(base.select("id", "row", whole.alias("v"), F.size("x").alias("dim")), "vectors")
-    total = base.count()
+    total = c.bounded_batches(base).count()
     shards = max(1, -(-total // shard_rows))
     packed = "dim int, part int, ids binary, rows binary, data binary"
     part = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int").alias("part")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-FLUSH = 1_000_000
+FLUSH = 700_000
 WORDS = 8  # of a bitmap
 _ODD = np.random.default_rng(20240601).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEPT = np.uint64(40)  # bits that name a shingle within its range
@@ -160,6 +160,7 @@ def _mapper(n: int, parts: int):
                 if held >= FLUSH or len(ids) >= 60_000:
                     yield _batch(list(_flush(ids, keys, sets, parts)))
                     ids, keys, sets, held = [], [], [], 0
+                    c.release()
         if ids:
             yield _batch(list(_flush(ids, keys, sets, parts)))
 
@@ -187,6 +188,7 @@ def _share(parts: int):
             if shared.any():
                 full = tok[shared] | np.uint64(key[0].as_py()) << _KEPT
                 out += _by_class(own[shared], full, parts, 1)
+        c.release()
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -326,7 +328,7 @@ def text_key(text_col: str = "text"):
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, pct: int = 80) -> DataFrame:
     """One row per input row: id, n_shingles, component_id, class_id, text_key; sets link at 100 * |A and B| >= pct * |A or B|."""
-    parts = c.partitions_for(docs, 16 << 20)
+    parts = c.partitions_for(c.bounded_batches(docs), 16 << 20)
     need = lambda m, pct=pct: max(1, -(-pct * m // 100))
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
     packed = flat.mapInArrow(_mapper(n, parts), PACKED)

@@ -189,7 +189,7 @@ def _tidy(uri: str, keep: set[str] | None) -> None:
 
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z", file_bytes: int = 64 << 20, broadcast_rows: int = 200_000) -> DataFrame:
     """Write archives of one gzip stream each; returns (path) of those that count."""
-    flat = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), c.text_of(html_col).alias("html"))
+    flat = c.bounded_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), c.text_of(html_col).alias("html"))
     flat = flat.withColumn("sha", F.sha1(F.col("html").cast("binary")))
     twice = flat.groupBy("sha").agg(F.count("*").alias("n"), F.max("id").alias("keep")).where("n > 1").select("sha", "keep")
     twice = c.materialize(twice, "twice")
