@@ -8,13 +8,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def roc_auc(rows: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
+def roc_auc(rows: DataFrame, score: str = "score", label: str = "label", steps: int = 10_000) -> DataFrame:
     """One row `auc`: rank sum with midranks for ties, 0.5 if a class is empty.
 
-    Ranks come from counts per distinct score, so only distinct scores are ever sorted together."""
-    by = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.select("n", "pos", (before + (F.col("n") + 1) / 2.0).alias("rank"))
+    Ranks come from counts on two levels, per step of the score and per distinct score within a step, so that no task
+    sorts all distinct scores (for scores from 0 to 1 the upper level has `steps` rows)."""
+    by = rows.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("pos")).withColumn("_step", F.floor(F.col(score) * steps))
+    sizes = by.groupBy("_step").agg(F.sum("n").alias("_n"))
+    starts = sizes.select("_step", F.coalesce(F.sum("_n").over(Window.orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inner = F.coalesce(F.sum("n").over(Window.partitionBy("_step").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = by.withColumn("_inner", inner).join(starts, "_step").select("n", "pos", (F.col("_start") + F.col("_inner") + (F.col("n") + 1) / 2.0).alias("rank"))
     sums = ranked.agg(F.sum(F.col("pos") * F.col("rank")).alias("r"), F.sum("pos").alias("p"), F.sum(F.col("n") - F.col("pos")).alias("q"))
     auc = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("q"))
     return sums.select(F.when((F.col("p") > 0) & (F.col("q") > 0), auc).otherwise(0.5).alias("auc"))

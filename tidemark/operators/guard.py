@@ -82,12 +82,13 @@ def overall(outcomes: Column) -> Column:
 def guarded_refresh(stored: DataFrame, rows: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str = "seq", budget: int | None = None, **more) -> tuple[DataFrame, DataFrame]:
     """A refresh of the latest-value table from computed rows: (outcomes with counts, the folded rows).
 
-    `budget` is a rate limit, rows beyond it in `order` are counted as `limited` and left alone."""
+    `budget` is a rate limit: the first rows in `order`, a distributed top-k; those beyond are counted as `limited`."""
+    late = None
     if budget is not None:
-        place = F.row_number().over(Window.orderBy(*order))
-        rows = rows.withColumn("_n", place)
-        late = rows.where(F.col("_n") > budget).select(F.lit("limited").alias("outcome"))
-        rows = rows.where(F.col("_n") <= budget).drop("_n")
+        taken = rows.orderBy(*order).limit(budget)
+        both = rows.select(F.lit(1).alias("n")).unionAll(taken.select(F.lit(-1)))
+        late = both.agg(F.lit("limited").alias("outcome"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
+        rows = taken
     folded = fold_batch(stored, rows, keys, seq, **more)
-    seen = folded.select("outcome")
-    return (seen.union(late) if budget is not None else seen).groupBy("outcome").agg(F.count("*").alias("n")), folded
+    counts = folded.groupBy("outcome").agg(F.count("*").alias("n"))
+    return (counts if late is None else counts.unionByName(late)), folded
