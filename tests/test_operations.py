@@ -114,6 +114,8 @@ def test_chunks_poison_retries_and_limits(spark):
     out = chunks.chunk_outcomes(chunks.chunked(items, 30, ["n"])).orderBy("chunk_id").collect()
     assert [(r.chunk_id, r.item_count, r.failed_items, r.status) for r in out] == [("j:0", 30, 15, "completed_with_errors"), ("j:1", 20, 10, "completed_with_errors")]
     assert len(out[0].first_errors) == 10 and all(len(e) == 200 for e in out[0].first_errors) and out[0].first_errors[0].startswith("e1e1")
+    sliced = chunks.chunked(items, 7, ["n"], slice_by=F.floor(F.col("n") / 9)).select("n", "item_index", "chunk_id")
+    assert sorted(sliced.collect()) == sorted(chunks.chunked(items, 7, ["n"]).select("n", "item_index", "chunk_id").collect())
     msgs = spark.createDataFrame([("structurally-poison",), ('{"event_type": "a"}',), ('{"event_type": "zz", "batch_job_id": "b", "request_id": ""}',), ("{}",)], "value string")
     good, dead = chunks.split_poison(msgs, known_types=["a"])
     assert good.count() == 1

@@ -8,10 +8,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def chunked(items: DataFrame, size: int, order: Sequence[str], job: str = "job_id") -> DataFrame:
-    """Items of each job in consecutive slices: item_index, chunk_index, chunk_id (`job:index`)."""
-    place = F.row_number().over(Window.partitionBy(job).orderBy(*order)) - 1
-    out = items.withColumn("item_index", place).withColumn("chunk_index", F.floor(F.col("item_index") / size).cast("int"))
+def chunked(items: DataFrame, size: int, order: Sequence[str], job: str = "job_id", slice_by: Column | None = None) -> DataFrame:
+    """Items of each job in consecutive slices: item_index, chunk_index, chunk_id (`job:index`).
+
+    `slice_by`, a coarse column that never falls along `order` (a date, an id divided by a million), lets a large job be
+    numbered by many tasks: places within a slice, and the slices' counts summed up."""
+    if slice_by is None:
+        place = F.row_number().over(Window.partitionBy(job).orderBy(*order)) - 1
+        out = items.withColumn("item_index", place)
+    else:
+        items = items.withColumn("_slice", slice_by)
+        sizes = items.groupBy(job, "_slice").agg(F.count("*").alias("_n"))
+        before = Window.partitionBy(job).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        starts = sizes.select(job, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+        nth = F.row_number().over(Window.partitionBy(job, "_slice").orderBy(*order))
+        out = items.withColumn("_nth", nth).join(starts, [job, "_slice"]).withColumn("item_index", F.col("_start") + F.col("_nth") - 1).drop("_slice", "_nth", "_start")
+    out = out.withColumn("chunk_index", F.floor(F.col("item_index") / size).cast("int"))
     return out.withColumn("chunk_id", F.concat_ws(":", F.col(job).cast("string"), F.col("chunk_index").cast("string")))
 
 

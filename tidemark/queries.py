@@ -612,7 +612,8 @@ def logistic_scores(spark, d):
 @query("SELECT o_orderkey, CAST((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS INTEGER) AS chunk_index, o_custkey || ':' || (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) // 4 AS chunk_id FROM orders")
 def chunking(spark, d):
     o = table(spark, d, "orders").withColumn("job_id", F.col("o_custkey"))
-    return chunks.chunked(o, 4, ["o_orderkey"]).select("o_orderkey", "chunk_index", "chunk_id")
+    out = chunks.chunked(o, 4, ["o_orderkey"], slice_by=F.floor(F.col("o_orderkey") / 1_000_000))
+    return out.select("o_orderkey", "chunk_index", "chunk_id")
 
 
 def job_items(spark, d):
