@@ -1,8 +1,7 @@
 """Benchmark decontamination with an FM-index for each training shard.
 
-A shard is a run of documents in a task.  Its text is the sequence of word numbers of the phrases' vocabulary, 0 for
-any other word; runs of vocabulary words too short for any phrase cannot hold one and are left out, as are stretches
-of 0.  Over it an FM-index is built: suffix array by prefix doubling, Burrows-Wheeler transform, a wavelet matrix with
+A shard is a run of documents in a task.  Its text is the sequence of word numbers of the phrases' vocabulary, with one 0
+for any stretch of other words, which no phrase can cross, and between documents.  Over it an FM-index is built: suffix array by prefix doubling, Burrows-Wheeler transform, a wavelet matrix with
 bit ranks, and suffix positions sampled at every eighth place and at each run's start.  All phrases are searched
 backwards together; occurrences are located by walking to a sampled row, and overlapping spans are merged.
 
@@ -164,7 +163,6 @@ class Phrases:
         self.table = np.zeros((len(seen), width), np.int64)
         for row, p in zip(self.table, seen):
             row[width - len(p) :] = p
-        self.shortest = int(self.sizes.min()) if seen else 0
 
 
 def occurrences(ids: np.ndarray, docs: np.ndarray, places: np.ndarray, phrases: Phrases):
@@ -183,14 +181,14 @@ def occurrences(ids: np.ndarray, docs: np.ndarray, places: np.ndarray, phrases:
     return docs[at], places[at], which
 
 
-def runs(ids: np.ndarray, starts: np.ndarray, least: int):
-    """Of a batch's word numbers: the runs of `least` or more vocabulary words of one document, a 0 after each."""
+def runs(ids: np.ndarray, starts: np.ndarray):
+    """Of a batch's word numbers: the runs of vocabulary words within one document, a 0 after each."""
     live = ids > 0
     edge = np.append(True, live[1:] != live[:-1])
     edge[starts[:-1][starts[:-1] < len(ids)]] = True
     at = np.flatnonzero(edge)
     long = np.diff(np.append(at, len(ids)))
-    keep = live[at] & (long >= least)
+    keep = live[at]
     at, long = at[keep], long[keep]
     room = long + 1
     index = np.arange(room.sum()) - np.repeat(np.cumsum(room) - room, room) + np.repeat(at, room)
@@ -228,14 +226,15 @@ def _scan(phrases: Phrases, schema: pa.Schema):
             words = [words_of(t) for t in c.as_bytes(batch.column(1))]
             starts = np.cumsum([0] + [len(w) for w in words])
             ids = np.fromiter((i for w in words for i in map(number, w, repeat(0))), np.int64, int(starts[-1]))
-            if len(ids) and phrases.shortest:
-                out, doc, place = runs(ids, starts, phrases.shortest)
+            if len(ids) and phrases.items:
+                out, doc, place = runs(ids, starts)
                 shard.append((out, doc + len(rows), place))
                 held += len(out)
             rows += zip(batch.column(0).to_pylist(), [len(w) for w in words])
             if held >= SHARD or len(rows) >= 50_000:
                 yield flush(rows, shard)
                 rows, shard, held = [], [], 0
+                c.release()
         if rows:
             yield flush(rows, shard)
 
@@ -309,8 +308,8 @@ def _clean(phrases: Phrases, spot: int):
             words = [words_of(t) for t in c.as_bytes(batch.column(spot))]
             starts = np.cumsum([0] + [len(w) for w in words])
             ids = np.fromiter((i for w in words for i in map(number, w, repeat(0))), np.int64, int(starts[-1]))
-            if len(ids) and phrases.shortest:
-                out, doc, place = runs(ids, starts, phrases.shortest)
+            if len(ids) and phrases.items:
+                out, doc, place = runs(ids, starts)
                 shard.append((out, doc + rows, place))
                 held += len(out)
             kept.append(batch)
@@ -319,6 +318,7 @@ def _clean(phrases: Phrases, spot: int):
             if held >= SHARD or size >= 64 << 20:
                 yield from flush(kept, shard)
                 kept, shard, held, rows, size = [], [], 0, 0, 0
+                c.release()
         yield from flush(kept, shard)
 
     return run

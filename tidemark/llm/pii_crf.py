@@ -351,7 +351,7 @@ def _find(field: Field):
             raws = c.as_bytes(batch.column(1))
             rows = []
             for key, raw, more in zip(batch.column(0).to_pylist(), raws, added_spans(raws, field, tables)):
-                base = base_spans(raw.decode())
+                base = base_spans(raw.decode("utf-8", "replace"))
                 more = sorted(s for s in more if all(s[2] <= a or s[1] >= b for _, a, b in base)) if more else []
                 counts = [sum(s[0] == k for s in base) for k in range(len(KINDS))]
                 rows.append((key, *counts, hashlib.sha256(_printed(base).encode()).hexdigest(), _printed(base + more)))
