@@ -104,27 +104,27 @@ def pieces(batch, column: int, most: int = 2 << 20):
         yield batch.slice(int(lo), int(hi - lo))
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node with an edge down has just one, to a node that has none."""
+    down = edges.groupBy("u").agg(F.count("*").alias("n"))
+    ends = down.select("u", (F.col("n") > 1).cast("int").alias("bad")).union(edges.select("v", F.lit(2)).distinct())
+    return ends.groupBy("u").agg(F.sum("bad").alias("s"), F.count("*").alias("n")).where("s = 1 or n > 1").isEmpty()
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an edge list of longs: (node, component), component the smallest node.
 
     Alternating large-star and small-star rounds (Kiveris et al., "Connected Components in MapReduce and Beyond"):
     every round is a few aggregations and equi-joins, so no component is ever gathered in one place.  Nodes without
     an edge do not occur in the result."""
-    spark = edges.sparkSession
     now = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct(), "edges")
-    seen = None
-    while True:
+    while not _stars(now):
         both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = large.where("u <> v")
+        # written, so that both sides of the join are plain exchanges and AQE can split a hub's
+        least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "stars")
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = materialize(small, "edges")
-        mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == seen:
-            break
-        seen = mark
+        now = materialize(small.union(down.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
     tops = now.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(tops)

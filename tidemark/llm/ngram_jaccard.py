@@ -302,12 +302,22 @@ def _nearest(star: DataFrame) -> DataFrame:
     return best.select("a", F.col("cls").alias("b"))
 
 
-def _label(held: DataFrame, found: DataFrame) -> DataFrame:
-    """(cls, comp, weight): each class's component so far and the component's size."""
-    found = c.materialize(found, "groups")
-    weight = found.groupBy("component").agg(F.count("*").alias("weight"))
-    own = held.select("cls").join(found.withColumnRenamed("node", "cls"), "cls", "left").join(weight, "component", "left")
-    return own.select("cls", F.coalesce("component", "cls").alias("comp"), F.coalesce("weight", F.lit(1)).alias("weight"))
+def _merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """(cls, comp, weight) after links: each component goes to the heaviest that a link joins it to (of equals the
+    smaller), and on to where that goes.  Cheaper than full components and enough to thin out what tiles compare."""
+    rank = lambda x: F.struct(F.col(f"{x}.weight").alias("w"), F.bitwise_not(F.col(f"{x}.comp")).alias("o"))
+    ends = links.join(label.alias("x"), F.col("a") == F.col("x.cls")).join(label.alias("y"), F.col("b") == F.col("y.cls")).where("x.comp <> y.comp")
+    low, high = F.least(rank("x"), rank("y")), F.greatest(rank("x"), rank("y"))
+    up = ends.select(F.bitwise_not(low["o"]).alias("u"), high.alias("top")).groupBy("u").agg(F.max("top").alias("top"))
+    up = c.materialize(up.select("u", F.bitwise_not(F.col("top.o")).alias("v")), "up")
+    for _ in range(2):
+        on = up.select(F.col("u").alias("v"), F.col("v").alias("far"))
+        up = up.join(on, "v", "left").select("u", F.coalesce("far", "v").alias("v"))
+    up = c.materialize(up, "up")
+    moved = label.join(up.withColumnRenamed("u", "comp"), "comp", "left").select("cls", F.coalesce("v", "comp").alias("comp"))
+    moved = c.materialize(moved, "moved")
+    weight = c.materialize(moved.groupBy("comp").agg(F.count("*").alias("weight")), "weight")
+    return moved.join(weight, "comp").select("cls", "comp", "weight")
 
 
 def _mixed(tiles: DataFrame, label: DataFrame) -> tuple[DataFrame, int, int]:
@@ -316,7 +326,7 @@ def _mixed(tiles: DataFrame, label: DataFrame) -> tuple[DataFrame, int, int]:
     by = placed.groupBy("tok", "band", "comp").agg(F.count("*").alias("m"), F.max("weight").alias("weight"))
     by = by.groupBy("tok", "band").agg(F.sum("m").alias("m"), F.max_by(F.struct("comp", "m"), F.struct("weight", "comp")).alias("big"), F.count("*").alias("comps"))
     by = by.where("comps > 1").select("tok", "band", F.col("big.comp").alias("big"), ((F.col("m") - F.col("big.m")) * F.col("m")).alias("pairs"), "m")
-    apart = c.materialize(placed.join(by, ["tok", "band"]), "apart")
+    apart = c.materialize(placed.join(c.materialize(by, "mixed"), ["tok", "band"]), "apart")
     sums = apart.agg(F.sum(F.col("pairs") / F.col("m")), F.count("*")).first()
     return apart.drop("pairs", "m", "weight"), int(sums[0] or 0), sums[1]
 
@@ -341,9 +351,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # the star: each class meets one pivot, the one it shares most tiles with
     meet = tiles.groupBy("tok", "band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"), F.count("*").alias("m")).where("pivot <> last")
-    star = tiles.join(meet.select("tok", "band", "pivot"), ["tok", "band"]).where("cls <> pivot")
+    meet = c.materialize(meet.select("tok", "band", "pivot"), "meet")  # so that AQE can split the join's hot tiles
+    star = tiles.join(meet, ["tok", "band"]).where("cls <> pivot")
     links = c.materialize(_links(_nearest(star), held, pct), "links")
-    label = _label(held, c.components(links))
+    label = _merge(held.select("cls", F.col("cls").alias("comp"), F.lit(1).cast("long").alias("weight")), links)
     apart, rest, all_rows = _mixed(tiles, label)
 
     # more stars while many pairs of different components are left and stars still make them much fewer
@@ -351,9 +362,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     while rest > 2 * all_rows and 4 * rest < 3 * before:
         turn, before = turn + 1, rest
         big = apart.where("comp = big").groupBy("tok", "band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
+        big = c.materialize(big, "pivots")
         star = apart.where("comp <> big").select("tok", "band", "cls").join(big, ["tok", "band"])
-        links = links.union(c.materialize(_links(_nearest(star), held, pct), "links"))
-        label = _label(held, c.components(links))
+        new = c.materialize(_links(_nearest(star), held, pct), "links")
+        links, label = links.union(new), _merge(label, new)
         apart, rest, all_rows = _mixed(apart.select("tok", "band", "cls", "pos"), label)
 
     # what is left: pairs of different components in a tile, of which one is not the tile's largest
@@ -370,9 +382,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     links = c.materialize(links.union(_links(more, held, pct)), "links")
     groups = c.components(links).withColumnsRenamed({"node": "cls", "component": "comp"})
 
-    rows = rows.join(groups, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    least = rows.where("n > 0").groupBy("comp").agg(F.min("id").alias("least"))
-    rows = rows.join(least, "comp", "left")
+    # the smallest id of each component, by way of classes: copies are summed up before anything is joined
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("first")).join(groups, "cls", "left")
+    classes = c.materialize(classes.withColumn("comp", F.coalesce("comp", "cls")), "classes")
+    least = c.materialize(classes.groupBy("comp").agg(F.min("first").alias("least")), "least")
+    named = c.materialize(classes.join(least, "comp").select("cls", "comp", "least"), "named")
+    rows = rows.join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
     return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"), F.col("key").alias("text_key"), "comp")
 
