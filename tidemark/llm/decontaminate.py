@@ -37,22 +37,33 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Of non-negative numbers; each 0 counts as a letter of its own, smaller than all others, by place."""
+    """Of non-negative numbers; each 0 counts as a letter of its own, smaller than all others, by place.
+
+    Prefix doubling: a suffix's rank is where its group of equal prefixes starts in the order, so only suffixes in
+    groups of several are sorted again, and those become few after the first rounds."""
     n = len(s)
     zeros = s == 0
     start = np.where(zeros, np.cumsum(zeros) - 1, s.astype(np.int64) + int(zeros.sum()))
-    rank = np.unique(start, return_inverse=True)[1].astype(np.int64)
-    order, k = np.argsort(rank, kind="stable"), 1
-    while n and rank.max() < n - 1:
-        after = np.zeros(n, np.int64)
-        after[:-k] = rank[k:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        by = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(False, by[1:] != by[:-1]))
+    counts = np.bincount(start) if n else np.empty(0, np.int64)
+    rank = (np.cumsum(counts) - counts)[start]
+    open_, k = np.flatnonzero(counts[start] > 1), 1
+    while len(open_):
+        after = np.where(open_ + k < n, rank[np.minimum(open_ + k, n - 1)] + 1, 0)
+        key = rank[open_] * (n + 1) + after
+        order = np.argsort(key)
+        open_, key = open_[order], key[order]
+        head = rank[open_]
+        place = np.arange(len(open_))
+        group = np.maximum.accumulate(np.where(np.append(True, head[1:] != head[:-1]), place, 0))
+        new = np.append(True, key[1:] != key[:-1])
+        own = np.maximum.accumulate(np.where(new, place, 0))
+        rank[open_] = head + own - group
+        alone = new & np.append(new[1:], True)
+        open_ = open_[~alone]
         k *= 2
-    return order
+    out = np.empty(n, np.int64)
+    out[rank] = np.arange(n)
+    return out
 
 
 class Bits:
