@@ -33,6 +33,14 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession) -> None:
+    """Remove what `materialize` has written in the shared folder; results that were not saved elsewhere go with it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(at):
+        fs.delete(at, True)
+
+
 def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
     """From now on Arrow batches to and from Python hold `most` bytes, not just a number of rows of any length."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
