@@ -707,3 +707,49 @@ def metric_histogram(spark, d):
 def label_rates(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return evaluate.class_rates(rows, "quality", ["source"]).withColumn("rate", F.round("rate", 9))
+
+
+# Flows.
+@query("""WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 17 = 0 THEN 2 ELSE 1 END AS v, CAST(floor(value / 30) AS BIGINT) AS val, CAST(date_trunc('day', ts) AS TIMESTAMP) AS t FROM events),
+m AS (SELECT *, CASE WHEN event_type NOT IN ('click', 'view') THEN 'unknown feature ' || event_type WHEN v <> 1 THEN 'unexpected version of ' || event_type END AS error FROM e),
+n AS (SELECT *, row_number() OVER (PARTITION BY error IS NULL, user_id, event_type, t, val ORDER BY event_id) AS nth FROM m)
+SELECT event_id, CASE WHEN error IS NOT NULL THEN 'rejected' WHEN nth = 1 THEN 'written' ELSE 'duplicate' END AS status, error FROM n""")
+def feature_row_import(spark, d):
+    """Tall feature rows from a warehouse: exact names and versions, replays are duplicates."""
+    from .plans import flows
+
+    view = registry.build(WAVE).views["activity"]
+    e = table(spark, d, "events")
+    day = F.date_trunc("day", F.col("ts")).cast("timestamp_ntz")
+    rows = e.select("event_id", keys.entity_key({"user_id": F.col("user_id")}).alias("entity_key"), F.col("event_type").alias("feature_name"), F.when(F.col("event_id") % 17 == 0, 2).otherwise(1).alias("feature_version"), F.floor(F.col("value") / 30).cast("string").alias("value_json"), day.alias("data_ts"), F.col("ts").alias("calc_ts"))
+    return flows.import_feature_rows(rows, view, None, ["event_id"])[0].select("event_id", "status", "error")
+
+
+@query("""SELECT event_id AS request_id, s AS source_name, CASE WHEN (event_id + k) % 5 = 0 THEN 'missing payload p' || (event_id + k) END AS error FROM events CROSS JOIN (VALUES ('a', 0), ('b', 1)) x(s, k)""")
+def report_descriptors(spark, d):
+    """Events that carry their own report descriptors, joined to payloads by object key."""
+    from .plans import flows
+
+    n = F.col("event_id")
+    one = lambda s, k: F.struct(F.lit(s).alias("source_name"), F.concat(F.lit("p"), n + k).alias("object_key"))
+    e = table(spark, d, "events").select(n.alias("request_id"), F.array(one("a", 0), one("b", 1)).alias("reports"))
+    ids = table(spark, d, "events").select(n).union(table(spark, d, "events").agg(F.max("event_id") + 1))
+    payloads = ids.where("event_id % 5 <> 0").select(F.concat(F.lit("p"), n).alias("storage_uri"), F.lit("{}").alias("payload_json"))
+    return flows.descriptors(e, payloads).select("request_id", "source_name", "error")
+
+
+@query("SELECT event_id, CAST(CASE event_type WHEN 'purchase' THEN 3 WHEN 'view' THEN 1 END AS INTEGER) AS feature_version, CASE WHEN event_type NOT IN ('purchase', 'view') THEN 'not a score feature: ' || event_type END AS error FROM events")
+def score_writeback(spark, d):
+    """Scores from outside: only declared score features are taken, at their registered version."""
+    rows = table(spark, d, "events").select("event_id", F.col("event_type").alias("feature_name"))
+    good, bad = models.score_writes(rows, {"purchase": 3, "view": 1})
+    return good.select("event_id", "feature_version", F.lit(None).cast("string").alias("error")).unionByName(bad.select("event_id", "feature_version", "error"))
+
+
+@query("SELECT event_id, CASE WHEN ts + to_milliseconds(CAST(greatest(1, least(CAST(value * 1000 AS BIGINT), 60000)) AS BIGINT)) <= TIMESTAMP '2024-01-15' THEN 'deadline_expired' ELSE 'served' END AS status FROM events")
+def deadline_filter(spark, d):
+    """Requests whose clamped deadline has passed are ended before anything is computed."""
+    e = table(spark, d, "events")
+    e = e.withColumn("expires_at", chunks.expires_at(F.col("ts"), (F.col("value") * 1000).cast("long"), 60000))
+    ok, late = chunks.deadline_split(e, F.lit("2024-01-15").cast("timestamp_ntz"))
+    return ok.select("event_id", F.lit("served").alias("status")).union(late.select("event_id", "status"))
