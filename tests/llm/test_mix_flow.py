@@ -54,7 +54,7 @@ def test_edges(spark):
 
 def test_take_repeats_rows_as_planned(spark):
     rows = [(i, "w " * (i % 7), "s0" if i % 4 else "s1") for i in range(60)] + [(None, "a b", "s1"), (5, "w " * 5, "s0"), (5, "w " * 5, "s0"), (6, None, None)]
-    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, n_chars int")
+    df = spark.createDataFrame([(*r, 9) for r in rows], "doc_id long, text string, source string, _draw int")
     got = m.take(df)
     assert got.columns == df.columns
     words = lambda t: len((t or "").split())

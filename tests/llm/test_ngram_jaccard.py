@@ -84,7 +84,7 @@ def test_one_row_of_each_group_stays(spark):
     from tidemark.llm.ngram_jaccard import first_of_groups
 
     rows = [(3, "a b c d e f"), (1, "A b c d e f"), (None, "a b c d e f"), (None, "only null"), (None, "only null"), (5, "other words"), (5, "third text"), (5, "third text"), (7, None), (7, ""), (8, "")]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, comp string, n long")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, _id string, _words long")
     out = first_of_groups(df)
     assert out.columns == df.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)

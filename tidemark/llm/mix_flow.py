@@ -183,6 +183,7 @@ def take(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     them stands for all, which a window finds without a shuffle beyond the join's."""
     times = mix(docs, id_col, text_col, source_col, seed=seed, **more).groupBy("draw").agg(F.sum("times").alias("_times"))
     times = times.where("_times > 0").select(F.col("draw").alias("_draw"), F.col("_times").cast("int"))
-    joined = docs.withColumn("_own", drawn(id_col, text_col, source_col, seed)).join(times, F.col("_own") == F.col("_draw"))
+    whole = docs.select(F.struct("*").alias("_row"), drawn(id_col, text_col, source_col, seed).alias("_own"))
+    joined = whole.join(times, F.col("_own") == F.col("_draw"))
     one = joined.withColumn("_nth", F.row_number().over(Window.partitionBy("_draw").orderBy("_times"))).where("_nth = 1")
-    return one.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(docs.columns)
+    return one.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select("_row.*")

@@ -401,7 +401,7 @@ def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rank = F.struct(F.col("_id").isNull(), "_id", "_key")
     first = found.where("_words").groupBy("comp").agg(F.min(rank).alias("r")).select(F.col("r._id").alias("_id"), F.col("r._key").alias("_key"), F.lit(True).alias("_words"))
     stay = first.union(found.where("not _words").select("_id", "_key", "_words").distinct())
-    keyed = docs.withColumn("_at", text_key(text_col))
-    joined = keyed.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")))
+    whole = docs.select(F.struct("*").alias("_row"), F.col(id_col).cast("long").alias("_own"), text_key(text_col).alias("_at"))
+    joined = whole.join(stay, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_at") == F.col("_key")))
     nth = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_words"))
-    return joined.withColumn("_nth", nth).where("_nth = 1 or not _words").select(docs.columns)
+    return joined.withColumn("_nth", nth).where("_nth = 1 or not _words").select("_row.*")
