@@ -75,7 +75,8 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(margins, -30, 30)))
 
 
-def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float = 0.02, decay: float = 1e-4, batch: int = 32) -> Machine:
+def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float = 0.02, decay: float = 1e-4, batch: int = 32, least_steps: int = 200) -> Machine:
+    """Adam on mini-batches; small tables are gone through more often, until `least_steps` are made."""
     rng = np.random.default_rng(7)
     share = min(max(float(np.mean(labels)) if len(labels) else 0.5, 1e-3), 1 - 1e-3)
     params = [np.array([np.log(share / (1 - share))]), np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, RANK))]
@@ -84,7 +85,7 @@ def train(texts: list[bytes], labels: np.ndarray, epochs: int = 6, rate: float =
     rows, step = list(features(texts)), 0
     if len(set(labels.tolist())) < 2:  # nothing to tell apart
         return Machine(float(params[0][0]) if len(labels) else 0.0, params[1], params[2] * 0)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-least_steps * batch // len(rows)))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(rows), batch):
             grads = [np.zeros_like(p) for p in params]
