@@ -82,12 +82,12 @@ def test_yaml_planner_and_digest(tmp_path):
             store.put(key, {})
 
 
-def test_promotion_rules():
+def test_promotion_rules(tmp_path):
     class Bundles:
         get = staticmethod({"b1": 1, "b2": 1}.get)
 
     day = lambda n: dt.datetime(2026, 1, n)
-    s = promotion.Stages(Bundles)
+    s = promotion.Stages(Bundles, str(tmp_path))
     with pytest.raises(promotion.PromotionError, match="not published"):
         s.promote("zz", "prod", "shadow", "me", "r", day(1))
     s.promote("b1", "prod", "shadow", "me", "r", day(1))
@@ -98,6 +98,8 @@ def test_promotion_rules():
     assert s.promote("b2", "prod", "live", "me", "r", day(9), profile="energy", approved_by=["a"], override="urgent").override == "urgent"
     assert s.rollback("prod", "live", "me", "bad", day(10)).bundle == "b1" and s.current("prod", "live").bundle == "b1"
     assert [r.action for r in s.records] == ["promote"] * 3 + ["rollback"]
+    back = promotion.Stages(Bundles, str(tmp_path))
+    assert back.records == s.records and back.pointers == s.pointers
     with pytest.raises(promotion.PromotionError):
         s.rollback("dev", "live", "me", "r", day(1))
 
@@ -183,3 +185,22 @@ def test_credit_plan_end_to_end(spark):
     for name, value in want.items():
         assert abs(got[name].value - value) < 2e-6 and got[name].status == "OK", name
     assert len(view.features) == 30 and len(view.feature_groups) == 6
+
+
+def test_command_line(tmp_path, capsys):
+    import yaml
+
+    from tidemark.__main__ import main
+
+    (tmp_path / "r.yaml").write_text(yaml.safe_dump(BASE))
+    reg, store = f"{tmp_path}/r.yaml", f"{tmp_path}/store"
+    assert main(["validate", reg]) == 0 and main(["plan", reg, "v", "c"]) == 0
+    assert "a, b, c" in capsys.readouterr().out
+    assert main(["publish", reg, store]) == 0
+    bundle = capsys.readouterr().out.strip()
+    assert bundle == registry.digest(registry.load(reg))
+    assert main(["promote", store, bundle, "prod", "shadow", "--actor", "me", "--reason", "r"]) == 0
+    assert main(["promote", store, bundle, "prod", "live", "--actor", "me", "--reason", "r", "--profile", "bank"]) == 1
+    assert main(["promote", store, bundle, "prod", "live", "--actor", "me", "--reason", "r", "--profile", "energy", "--approved-by", "x"]) == 0
+    (tmp_path / "bad.yaml").write_text("{}")
+    assert main(["validate", f"{tmp_path}/bad.yaml"]) == 1

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timedelta
+from pathlib import Path
 
 STAGES = ("shadow", "live")
 #: Approvers and days in shadow that each profile asks for.
@@ -38,19 +40,36 @@ class Record:
 
 
 class Stages:
-    """Which bundle each (environment, stage) points to."""
+    """Which bundle each (environment, stage) points to; kept in memory, or in a folder as one line per move.
 
-    def __init__(self, bundles):
+    The record is the state: pointers are what its lines lead to, so a pointer and its record cannot disagree."""
+
+    def __init__(self, bundles, folder: str | None = None):
         self.bundles, self.pointers, self.records = bundles, {}, []
+        self.file = Path(folder) / "moves.jsonl" if folder else None
+        if self.file and self.file.exists():
+            for line in self.file.read_text().splitlines():
+                row = json.loads(line)
+                since = row.pop("shadow_since")
+                row |= {"at": datetime.fromisoformat(row["at"]), "approvers": tuple(row["approvers"])}
+                self._point(Record(**row), since and datetime.fromisoformat(since))
 
     def current(self, env: str, stage: str) -> Pointer | None:
         return self.pointers.get((env, stage))
 
-    def _move(self, record: Record, shadow_since: datetime | None) -> Record:
+    def _point(self, record: Record, shadow_since: datetime | None) -> Record:
         self.pointers[record.env, record.stage] = Pointer(record.bundle, record.at, shadow_since, record.previous)
         self.records.append(record)
         return record
 
+    def _move(self, record: Record, shadow_since: datetime | None) -> Record:
+        if self.file:
+            self.file.parent.mkdir(parents=True, exist_ok=True)
+            row = asdict(record) | {"at": record.at.isoformat(), "shadow_since": shadow_since and shadow_since.isoformat()}
+            with self.file.open("a") as out:
+                out.write(json.dumps(row) + "\n")
+        return self._point(record, shadow_since)
+
     def _checked(self, bundle: str, stage: str, reason: str) -> None:
         if self.bundles.get(bundle) is None:
             raise PromotionError(f"bundle {bundle!r} is not published")
