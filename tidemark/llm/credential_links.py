@@ -14,6 +14,8 @@ spans; a null doc_id is kept; extra columns are ignored, whatever their names; a
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,35 +30,49 @@ BASE = [
 #: The same matches that reach their least length, found without stopping at each shorter one.  An assignment's
 #: shorter matches do hide later ones, so it keeps its pattern (letters of its words in either case).
 SEARCH = {"assign": BASE[0][1].replace("(password", "((?i)password", 1), "access": r"AKIA[A-Z0-9]{16,}", "hex": r"[0-9a-f]{24,}"}
-#: Weak kinds, after the base kinds, with role: I identifier, S secret, E endpoint.
+#: Weak kinds, after the base kinds, with role (I identifier, S secret, E endpoint), pattern, and what a match must hold
+#: besides: patterns that all of them match.
 WEAK = [
-    ("weak_id", "I", r"""(?i:access_?key_?id|client_?id|user_?name|login|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,64}"""),
-    ("weak_token", "S", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}+={0,2}"),
-    ("weak_hex", "S", r"(?<![0-9A-Za-z])[0-9a-f]{16,23}(?![0-9A-Za-z])"),
-    ("weak_endpoint", "E", r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s"'<>]{4,}|(?i:host(?:name)?|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]{1,5})?"""),
+    ("weak_id", "I", r"""(?i:access_?key_?id|client_?id|user_?name|login|account_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._+-]{3,64}""", []),
+    ("weak_token", "S", r"[A-Za-z0-9+/_-]{20,}={0,2}", ["[0-9]", "[A-Z]", "[a-z]"]),
+    ("weak_hex", "S", r"[0-9A-Za-z]{16,}", ["^[0-9a-f]{16,23}$", "[0-9]"]),
+    ("weak_endpoint", "E", r"""(?i:https?|ftp|jdbc:[a-z0-9]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x20\x09-\x0D"'<>]{4,}|(?i:host(?:name)?|endpoint)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.-]{4,}(?::[0-9]{1,5})?""", []),
 ]
-ROLE = {"assign": "S", "access": "I", "hex": "S"} | {k: r for k, r, _ in WEAK}
+ROLE = {"assign": "S", "access": "I", "hex": "S"} | {k: r for k, r, *_ in WEAK}
 ORDER = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(w[0] for w in WEAK)])}
 SPAN = "array<struct<start: int, rank: int, end: int>>"
 
 
-def found(text: Column, kind: str, pattern: str, group: int = 0, least: int = 0) -> Column:
-    """Spans of all leftmost non-overlapping matches: what split() leaves between matches gives their places."""
+def found(text: Column, kind: str, pattern: str, test: Callable[[Column], Column]) -> Column:
+    """Spans of the leftmost non-overlapping matches that pass a test: what split() leaves between matches gives their places."""
     pieces, matches = F.split(text, F.lit(pattern), F.lit(-1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("hit"))
 
     def step(acc, x):
         start = acc["at"] + F.char_length(x["gap"])
         end = start + F.char_length(x["hit"])
-        long = F.char_length(F.regexp_extract(x["hit"], pattern, group)) >= least if group else F.char_length(x["hit"]) >= least
         own = F.array(F.struct(start.alias("start"), F.lit(ORDER[kind]).alias("rank"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(long, F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct(end.alias("at"), F.when(test(x["hit"]), F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
 
     none = F.expr(f"cast(array() as {SPAN})")
     spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
     return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
 
 
+def _long(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
+    return lambda hit: F.char_length(F.regexp_extract(hit, pattern, group) if group else hit) >= least
+
+
+def _holds(patterns: list[str]) -> Callable[[Column], Column]:
+    def test(hit):
+        ok = F.lit(True)
+        for p in patterns:
+            ok = ok & hit.rlike(p)
+        return ok
+
+    return test
+
+
 def printed(spans: Column) -> Column:
     names = F.array(*(F.lit(k) for k in ORDER))
     one = lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))
@@ -66,8 +82,8 @@ def printed(spans: Column) -> Column:
 def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, k1, k2, base, weak): spans of every row's text; k1 and k2 name rows of equal id and text."""
     flat = docs.select(F.col(id_col).alias("id"), c.text_of(text_col).alias("text"))
-    base = F.concat(*(found(F.col("text"), k, SEARCH[k], group, least) for k, _, group, least in BASE))
-    weak = F.concat(*(found(F.col("text"), k, p) for k, _, p in WEAK))
+    base = F.concat(*(found(F.col("text"), k, SEARCH[k], _long(SEARCH[k], group, least)) for k, _, group, least in BASE))
+    weak = F.concat(*(found(F.col("text"), k, p, _holds(more)) for k, _, p, more in WEAK))
     return flat.select("id", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "id").alias("k2"), base.alias("base"), weak.alias("weak"))
 
 

@@ -74,8 +74,30 @@ QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_cre
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 DRAW = "md5('mix|' || coalesce('=' || doc_id, '') || '|' || md5(coalesce(text, '')) || '|' || coalesce('=' || source, ''))"
 
-#: For DuckDB.  The classifier (4), the field (6) and the curve (9) are beyond SQL, and so are the spans that op3 adds
-#: through lookarounds; tests/llm checks those queries against brute force and held-out rows.
+
+
+def _secrets_sql() -> str:
+    """Every kind's matches with their places, the tests on them, then the parts that their scopes confirm."""
+    from . import credential_links as k
+
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    kinds = [(n, k.ROLE[n], k.SEARCH[n].replace("((?i)password|passwd|secret|token|api_?key)", "((?i:password|passwd|secret|token|api_?key))")) for n, *_ in k.BASE] + [(n, r, p) for n, r, p, _ in k.WEAK]
+    tests = " AND ".join([f"(kind <> 'assign' OR length(regexp_extract(hit, {quoted(kinds[0][2])}, 2)) >= 6)"] + [f"(kind <> '{n}' OR regexp_matches(hit, {quoted(t)}))" for n, _, _, more in k.WEAK for t in more])
+    parts = " UNION ALL ".join(f"SELECT r, '{n}' AS kind, '{role}' AS role, {i} AS rank, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS hits FROM d" for i, (n, role, p) in enumerate(kinds))
+    count = ", ".join(f"count(*) FILTER (WHERE kind = '{n}') AS n_{n}" for n, *_ in k.BASE)
+    text = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank)"
+    near = lambda role: f"EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.role = '{role}' AND abs(o.a - s.a) <= 200)"
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), p AS ({parts}),
+i AS (SELECT r, kind, role, rank, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM p WHERE len(hits) > 0),
+s AS MATERIALIZED (SELECT r, kind, role, rank, hit, a, a + length(hit) AS b FROM (SELECT r, kind, role, rank, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i) WHERE {tests}),
+f AS (SELECT * FROM s WHERE rank < 3 OR (role = 'I' AND {near('S')}) OR (role = 'S' AND {near('I')}) OR (role = 'E' AND {near('I')} AND {near('S')})),
+g AS (SELECT r, {count}, {text} FILTER (WHERE rank < 3) AS base, {text} AS spans FROM f GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+#: For DuckDB.  The classifier (4), the field (6) and the curve (9) are beyond SQL; tests/llm checks those queries
+#: against brute force and held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -96,6 +118,7 @@ h AS (SELECT r, i, o.n, item_id FROM o JOIN q ON o.n = q.n AND o.g = q.g),
 p AS (SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS k FROM h) GROUP BY r),
 t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS xs FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY r)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(xs, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN p USING (r) LEFT JOIN t USING (r)""",
+    "op3_credential_links": _secrets_sql(),
     "op5_kdtree_topk": """
 WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS x FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score FROM v q JOIN v c ON q.r <> c.r AND len(q.x) = len(c.x) WHERE q.vec_id % 50 = 0),
