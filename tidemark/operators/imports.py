@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import casts, digests, keys
+from ..ship import ship
 
 REPORT = "entity_key map<string,string>, event_ts string, payload variant, report_ref string, source_name string, report_type string, available_at string"
 
@@ -33,6 +34,7 @@ def number_lines(lines: DataFrame, text: str = "value", order: Sequence[str] = (
 def parse_reports(lines: DataFrame, key_fields: Sequence[str], source: str, kind: str, text: str = "value") -> DataFrame:
     """Each line as a report row or with an `error`: malformed JSON, a missing field, a bad key, a time without zone,
     availability before the report itself.  A bad line never stops the run."""
+    ship(lines.sparkSession)
     body = F.try_parse_json(F.col(text))
     get = lambda path, type_="string": F.try_variant_get(body, f"$.{path}", type_)
     parts = {k: get(f"entity_key.{k}") for k in key_fields}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import digests
+from ..ship import ship
 from .training import training_set
 
 Predict = Callable[[pd.DataFrame], Sequence[float]]
@@ -38,6 +39,7 @@ def predict(rows: DataFrame, features: Sequence[str], model: Predict, output: st
                 raise ValueError(f"the model returned {len(values)} values for {len(frame)} rows")
             yield frame.assign(**{output: values})
 
+    ship(rows.sparkSession)
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(output, DoubleType())]))
 
 
