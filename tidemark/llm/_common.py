@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ship import ship
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -33,6 +35,18 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """`run` over Arrow batches, and memory given back when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return wrapped
+
+
 def forget(spark: SparkSession) -> None:
     """Remove what `materialize` has written in the shared folder; results that were not saved elsewhere go with it."""
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
@@ -42,7 +56,9 @@ def forget(spark: SparkSession) -> None:
 
 
 def bounded_batches(df: DataFrame, most: int = 8 << 20) -> DataFrame:
-    """From now on Arrow batches to and from Python hold `most` bytes, not just a number of rows of any length."""
+    """From now on Arrow batches to and from Python hold `most` bytes, not just a number of rows of any length; and the
+    executors have this package's code."""
+    ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
     return df
 

@@ -269,7 +269,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     found = None
     for k in range(slices):
         part = bench.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).orderBy("item", "text").collect()
-        one = flat.mapInArrow(_scan(Phrases([(i, t.encode()) for i, t in part], window), schema), OUT)
+        one = flat.mapInArrow(c.tidy(_scan(Phrases([(i, t.encode()) for i, t in part], window), schema)), OUT)
         found = one if found is None else found.union(one)
     if slices > 1:
         found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -298,7 +298,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     for k in range(slices):
         bench = benchmark.select(F.col("item_id").cast("long").alias("item"), c.text_of("text").alias("text")).where("item is not null")
         part = bench.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).orderBy("item", "text").collect()
-        docs = docs.mapInArrow(_clean(Phrases([(i, t.encode()) for i, t in part], window), spot), docs.schema)
+        docs = docs.mapInArrow(c.tidy(_clean(Phrases([(i, t.encode()) for i, t in part], window), spot)), docs.schema)
     return docs
 
 

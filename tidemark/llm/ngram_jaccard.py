@@ -292,7 +292,7 @@ def _links(pairs: DataFrame, held: DataFrame, pct: int) -> DataFrame:
     left = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
-    return full.mapInArrow(_verify(pct), "a long, b long")
+    return full.mapInArrow(c.tidy(_verify(pct)), "a long, b long")
 
 
 def _nearest(star: DataFrame) -> DataFrame:
@@ -341,13 +341,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = c.partitions_for(c.bounded_batches(docs), 16 << 20)
     need = lambda m, pct=pct: max(1, -(-pct * m // 100))
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
-    packed = flat.mapInArrow(_mapper(n, parts), PACKED)
+    packed = flat.mapInArrow(c.tidy(_mapper(n, parts)), PACKED)
     shared = packed.groupBy("part").applyInArrow(_share(parts), PACKED)
     gathered = shared.groupBy("part").applyInArrow(_gather(need), "kind int, id long, key long, cls long, n long, toks binary")
     gathered = c.materialize(gathered, "shingles", "kind")
     rows = gathered.where("kind = 0").select("id", "key", "cls", "n")
     held = gathered.where("kind = 1").select("cls", "n", "toks")
-    tiles = held.mapInArrow(_tiles(pct), "tok long, band long, cls long, pos long")
+    tiles = held.mapInArrow(c.tidy(_tiles(pct)), "tok long, band long, cls long, pos long")
 
     # the star: each class meets one pivot, the one it shares most tiles with
     meet = tiles.groupBy("tok", "band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"), F.count("*").alias("m")).where("pivot <> last")
@@ -369,7 +369,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         apart, rest, all_rows = _mixed(apart.select("tok", "band", "cls", "pos"), label)
 
     # what is left: pairs of different components in a tile, of which one is not the tile's largest
-    sketch = held.join(apart.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "toks").mapInArrow(_bitmaps, "cls long, n long, c long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
+    sketch = held.join(apart.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "toks").mapInArrow(c.tidy(_bitmaps), "cls long, n long, c long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
     apart = apart.join(sketch, "cls")
     l, r = apart.where("comp <> big").alias("l"), apart.alias("r")
     hamming = sum((F.bit_count(F.col(f"l.b{i}").bitwiseXOR(F.col(f"r.b{i}"))) for i in range(WORDS)), F.lit(0))

@@ -364,4 +364,4 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per input row: id, counts of the base kinds, their digest, and all spans; one narrow pass."""
     field = train(labelled_table() if table is None else table)
     flat = c.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return flat.mapInArrow(_find(field), OUT).withColumnRenamed("id", id_col)
+    return flat.mapInArrow(c.tidy(_find(field)), OUT).withColumnRenamed("id", id_col)

@@ -140,7 +140,7 @@ def score(docs: DataFrame, model: Machine, text_col: str = "text", score_col: st
     from pyspark.sql.types import DoubleType, StructType
 
     full = StructType(list(docs.schema.fields)).add(score_col, DoubleType())
-    return c.bounded_batches(docs).mapInArrow(_score(model, to_arrow_schema(full), docs.columns.index(text_col)), full)
+    return c.bounded_batches(docs).mapInArrow(c.tidy(_score(model, to_arrow_schema(full), docs.columns.index(text_col))), full)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7, **more) -> DataFrame:

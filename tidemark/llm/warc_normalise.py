@@ -197,7 +197,7 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     full = flat.join(F.broadcast(twice) if small else twice, "sha", "left").select("id", "url", F.col("html").cast("binary"), "keep")
     fs, root = open_fs(folder)
     fs.create_dir(root, recursive=True)
-    done = c.materialize(full.mapInArrow(_write(folder, date, file_bytes), "path string"), "archives")
+    done = c.materialize(full.mapInArrow(c.tidy(_write(folder, date, file_bytes)), "path string"), "archives")
     return done
 
 
@@ -206,12 +206,12 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     fs, root = open_fs(target)
     fs.create_dir(root, recursive=True)
     each = archives.repartition(max(1, archives.count()), "path")
-    return c.materialize(each.mapInArrow(_normalise(source, target), INDEX), "index")
+    return c.materialize(each.mapInArrow(c.tidy(_normalise(source, target)), INDEX), "index")
 
 
 def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
     """All records that the index names."""
-    return index.mapInArrow(_read(folder, payloads), RECORD)
+    return index.mapInArrow(c.tidy(_read(folder, payloads)), RECORD)
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **more) -> DataFrame:
