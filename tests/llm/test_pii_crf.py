@@ -45,7 +45,7 @@ def test_viterbi_is_the_best_path():
 
 
 def test_field_finds_held_out_spans_and_leaves_clean_text():
-    f = p.train(p.labelled_table())
+    f = p.default_field()
     tables = f.tables()
     rows = p.labelled_table(300, seed=99)
     hit = want = extra = 0

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -313,6 +314,12 @@ def train(table, steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> F
     return Field(*weights)
 
 
+@cache
+def default_field() -> Field:
+    """The field of the default table; the same in every process, so it is trained once in each."""
+    return train(labelled_table())
+
+
 def _printed(spans) -> str:
     names = KINDS + ADDED
     return ",".join(f"{names[k]}:{a}:{b}" for k, a, b in spans)
@@ -362,6 +369,6 @@ def _find(field: Field):
 
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table=None) -> DataFrame:
     """One row per input row: id, counts of the base kinds, their digest, and all spans; one narrow pass."""
-    field = train(labelled_table() if table is None else table)
+    field = default_field() if table is None else train(table)
     flat = c.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return flat.mapInArrow(c.tidy(_find(field)), OUT).withColumnRenamed("id", id_col)
