@@ -65,3 +65,11 @@ def test_take_repeats_rows_as_planned(spark):
     for r in got.collect():
         have[str(r.doc_id)] += words(r.text)
     assert +have == +want
+
+
+def test_many_sources_are_planned_without_the_driver(spark):
+    rows = [(i, "w " * (1 + i * 7 % 23), f"s{i % 17}" if i % 19 else None) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = {r.doc_id: r for r in m.mix(df).collect()}
+    b = {r.doc_id: r for r in m.mix(df, max_patterns=3).collect()}
+    assert all(abs(a[i].target - b[i].target) < 1e-6 and a[i].taken == b[i].taken for i in a) and len(a) == len(b)

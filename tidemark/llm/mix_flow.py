@@ -6,8 +6,8 @@ cost k, so costs are convex and fresh words go before repeated ones.  The flow f
 pattern gives; a seeded order of the pattern's documents then decides which documents those are: a document is in a
 layer if at least its first half lies within the layer's flow, so a pattern misses its flow by half a document at most.
 
-Only sums by pattern reach the driver; there are at most `max_patterns` of them (checked, an error beyond), a bound on
-metadata and not on rows.  Running sums use two levels, slices by hash and rows within a slice, so that a source
+Only sums by pattern reach the driver, `max_patterns` of them at most (checked).  Beyond that, disjoint sources are
+planned by sums without collecting them; more patterns of overlapping sources are an error.  Running sums use two levels, slices by hash and rows within a slice, so that a source
 with most of the rows is spread over `16 ** digits` slices.
 
 Edge cases: null text has no words and is never taken; the null source is a source like others, last in order;
@@ -124,6 +124,42 @@ def parts_of_flow(supply: dict, quota: dict, layers: int) -> dict:
     return out
 
 
+def _plan_flow(patterns: DataFrame, share: float, repeats: int) -> DataFrame:
+    """(key, source_size, target, amounts by layer) from a flow on the driver; there are few patterns."""
+    rows = patterns.collect()
+    sizes: dict = defaultdict(int)
+    supply = {}
+    for r in rows:
+        p = tuple(r.pattern or ())
+        supply[p] = r.words
+        for s in p:
+            sizes[s] += r.words
+    goal = targets(sizes, share * sum(supply.values()), repeats)
+    amounts = defaultdict(lambda: [0] * repeats)
+    for (p, k, _), words in parts_of_flow(supply, {s: round(t) for s, t in goal.items()}, repeats).items():
+        amounts[p][k] += words
+    table = [(r.key, sizes[p[0]] if p else 0, float(goal[p[0]]) if p else 0.0, amounts[p]) for r in rows for p in [tuple(r.pattern or ())]]
+    return patterns.sparkSession.createDataFrame(table, "key string, source_size long, target double, amounts array<long>")
+
+
+def _plan_apart(sources: DataFrame, share: float, repeats: int) -> DataFrame:
+    """The same for any number of disjoint sources, without collecting them: the flow of a network of single edges is known
+    (layers fill up in order), and the level of all targets, target = least(level * weight, cap), is found by sums."""
+    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(Window.orderBy(F.col("pattern")[0].asc_nulls_last())) - 1) % len(WEIGHTS) + 1).cast("int"))
+    rows = c.materialize(sources.select("key", "words", w.alias("w"), (F.col("words") * repeats).alias("cap")), "weighed")
+    budget, level = share * (rows.agg(F.sum("words")).first()[0] or 0), -1.0
+    while True:
+        full = F.col("cap") < F.lit(level) * F.col("w")
+        done, open_ = rows.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
+        new = (budget - (done or 0)) / open_ if open_ else level
+        if new <= level:
+            break
+        level = new
+    target = F.least(F.lit(level) * F.col("w"), F.col("cap").cast("double"))
+    layers = F.array(*(F.greatest(F.lit(0), F.least(F.col("words"), F.bround(target).cast("long") - F.col("words") * k)) for k in range(repeats)))
+    return rows.select("key", F.col("words").alias("source_size"), target.alias("target"), layers.alias("amounts"))
+
+
 def drawn(id_col: str, text_col: str, source_col: str, seed: str):
     """The seeded place of a row in its pattern's order; only rows of equal id, text and source share one."""
     mark = lambda col: F.coalesce(F.concat(F.lit("="), col), F.lit(""))
@@ -135,7 +171,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     `source_col` is a string, or an array of strings for documents of several sources (source_size and target are
     then those of the pattern's least source)."""
-    spark = docs.sparkSession
     many = dict(docs.dtypes)[source_col].startswith("array")
     text = c.text_of(text_col)
     pattern = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col).cast("string"))
@@ -145,24 +180,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = rows.withColumn("key", key).withColumn("slice", F.substring("draw", 1, digits))
     rows = c.materialize(rows, "sizes")
     sums = c.materialize(rows.groupBy("key", "slice").agg(F.sum("size").alias("words"), F.any_value("pattern").alias("pattern")), "sums")
-    by_pattern = sums.groupBy("key").agg(F.sum("words").alias("words"), F.any_value("pattern").alias("pattern")).limit(max_patterns + 1).collect()
-    if len(by_pattern) > max_patterns:
-        raise ValueError(f"more than {max_patterns} patterns of sources")
-    sizes: dict = defaultdict(int)
-    supply = {}
-    for r in by_pattern:
-        p = tuple(r.pattern or ())
-        supply[p] = r.words
-        for s in p:
-            sizes[s] += r.words
-    goal = targets(sizes, share * sum(supply.values()), repeats)
-    flow = parts_of_flow(supply, {s: round(t) for s, t in goal.items()}, repeats)
-    amounts = defaultdict(lambda: [0] * repeats)
-    for (p, k, _), words in flow.items():
-        amounts[p][k] += words
-    table = [(r.key, sizes[p[0]] if p else 0, float(goal[p[0]]) if p else 0.0, amounts[p]) for r in by_pattern for p in [tuple(r.pattern or ())]]
-    plan = spark.createDataFrame(table, "key string, source_size long, target double, amounts array<long>")
-
+    patterns = sums.groupBy("key").agg(F.sum("words").alias("words"), F.any_value("pattern").alias("pattern"))
+    if patterns.limit(max_patterns + 1).count() > max_patterns:
+        if many:
+            raise ValueError(f"more than {max_patterns} patterns of overlapping sources: the flow's network does not fit the driver")
+        plan = _plan_apart(c.materialize(patterns, "sources"), share, repeats)
+    else:
+        plan = _plan_flow(patterns, share, repeats)
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("key", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     order = Window.partitionBy("key", "slice").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
