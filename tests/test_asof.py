@@ -74,3 +74,9 @@ def test_exports(spark, tmp_path):
     assert back.columns == ["entity.k", "observation_ts", "context.oid", "feature.a", "meta.a.status", "meta.a.feature_version", "meta.a.data_ts"]
     assert spark.read.json(f"{tmp_path}/jsonl").first().features.a == 1.0
     assert spark.read.option("header", True).csv(f"{tmp_path}/csv").columns == back.columns
+
+
+def test_plan_forms_no_pairs(spark):
+    h, o = small(spark, [(1, 1.0, 8, None)])
+    plan = asof.as_of(o, h, ["k"], ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Python" not in plan
