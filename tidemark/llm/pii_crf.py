@@ -263,7 +263,7 @@ def train(table, steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> F
     code, want = np.zeros((n, width), np.int64), np.zeros((n, width), np.int64)
     for i, (a, b) in enumerate(zip(codes, gold)):
         live[i, : len(a)], code[i, : len(a)], want[i, : len(a)] = True, a, b
-    running, last = live.sum(0), np.maximum(live.sum(1) - 1, 0)
+    running = live.sum(0)
     place, at = [], 0
     for shift, s in PARTS:
         place.append((code >> shift & s - 1) + at)
@@ -277,21 +277,25 @@ def train(table, steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> F
         scores = np.zeros((n, width, size))
         for e, (_, to, _, of) in zip(emit, near):
             scores[:, to] += e[place[:, of]].sum(2) * live[:, of, None]
-        norm = lambda x: np.logaddexp.reduce(x, axis=-1)
-        forward = np.zeros((n, width, size))
-        forward[:, 0] = scores[:, 0] + move[-1]
+        # forward and backward in probabilities, scaled at every place, so that each step is a small matrix product
+        mass, hop = np.exp(scores - scores.max(2, keepdims=True)), np.exp(move[:-1])
+        forward, scale = np.zeros((n, width, size)), np.ones((n, width, 1))
+        forward[:, 0] = mass[:, 0] * np.exp(move[-1])
+        scale[:, 0] = forward[:, 0].sum(1, keepdims=True)
+        forward[:, 0] /= scale[:, 0]
         for t in range(1, width):
             k = running[t]
-            forward[:k, t] = norm(forward[:k, t - 1, None, :] + move[:-1].T) + scores[:k, t]
-        z = norm(forward[np.arange(n), last])
-        backward = np.zeros((n, width, size))
+            new = forward[:k, t - 1] @ hop * mass[:k, t]
+            scale[:k, t] = new.sum(1, keepdims=True)
+            forward[:k, t] = new / scale[:k, t]
+        backward = np.ones((n, width, size))
         pair = np.zeros((size, size))
         for t in range(width - 2, -1, -1):
             k = running[t + 1]
-            ahead = (scores[:k, t + 1] + backward[:k, t + 1])[:, None, :] + move[:-1]
-            backward[:k, t] = norm(ahead)
-            pair += np.exp(forward[:k, t, :, None] + ahead - z[:k, None, None]).sum(0)
-        prob = np.exp(np.where(live[:, :, None], forward + backward - z[:, None, None], -np.inf))
+            ahead = mass[:k, t + 1] * backward[:k, t + 1] / scale[:k, t + 1]
+            backward[:k, t] = ahead @ hop.T
+            pair += forward[:k, t].T @ ahead * hop
+        prob = forward * backward * live[:, :, None]
         gap = one[want] * live[:, :, None] - prob
         ge = np.zeros_like(emit)
         for g, (_, to, _, of) in zip(ge, near):
