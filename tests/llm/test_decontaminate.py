@@ -67,6 +67,16 @@ def test_slices_of_a_large_benchmark_agree(spark):
     assert run(spark, docs, items, slice_bytes=300) == brute(docs, items)
 
 
+def test_items_without_an_id_are_found_and_removed(spark):
+    docs = [(1, "x one two three y"), (2, "four five"), (3, "nothing"), (4, "one two three four five six seven"), (5, "six seven")]
+    items = [(None, "one two three"), (None, "four five"), (8, "six seven"), (9, "four five six")]
+    out = run(spark, docs, items)
+    assert out == brute(docs, items)
+    assert [(r[0], r[2], r[3], r[5]) for r in out] == [(1, 3, 1, True), (2, 2, 1, True), (3, 0, 0, False), (4, 7, 3, True), (5, 2, 1, True)]
+    assert out[0][4] == d.digest([]) and out[3][4] == d.digest([8, 9])
+    assert run(spark, docs, items, slice_bytes=12) == out
+
+
 def test_empty_tables(spark):
     assert run(spark, [], [(1, "a b c")]) == []
     assert run(spark, [(1, "a b c")], []) == brute([(1, "a b c")], [])

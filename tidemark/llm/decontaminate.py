@@ -10,8 +10,8 @@ of at most `slice_bytes` of benchmark text; a larger benchmark takes several pas
 sent to tasks is bounded whatever the benchmark's size.
 
 Edge cases: null or wordless texts have no words and no hits; items without words have no phrases; repeated item
-texts each count; repeated rows are judged alike, each on its own; an item id of null is left out (it has no name to
-report); a null doc_id is kept; other columns pass through `flag`, whatever their names.
+texts each count; repeated rows are judged alike, each on its own; items whose id is null are phrases like all others and
+count as one item together, but have no name in the digest; a null doc_id is kept; other columns pass through `flag`, whatever their names.
 """
 
 from __future__ import annotations
@@ -159,16 +159,16 @@ class FMIndex:
 class Phrases:
     """The windows of a benchmark's items, as word numbers from 1."""
 
-    def __init__(self, items: list[tuple[int, bytes]], window: int):
+    def __init__(self, items: list[tuple[int | None, bytes]], window: int):
         self.vocab: dict[bytes, int] = {}
-        seen: dict[tuple, list[int]] = {}
+        seen: dict[tuple, list[int | None]] = {}
         for item, text in items:
             w = [self.vocab.setdefault(x, len(self.vocab) + 1) for x in words_of(text)]
             for i in range(max(1, len(w) - window + 1) if w else 0):
                 own = seen.setdefault(tuple(w[i : i + window]), [])
                 if not own or own[-1] != item:
                     own.append(item)
-        self.items = [sorted(set(x)) for x in seen.values()]
+        self.items = [list(set(x)) for x in seen.values()]
         self.sizes = np.array([len(p) for p in seen], np.int64)
         width = int(self.sizes.max()) if seen else 0
         self.table = np.zeros((len(seen), width), np.int64)
@@ -227,7 +227,7 @@ def _scan(phrases: Phrases, schema: pa.Schema):
         cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else []
         for lo, hi in zip(cuts, np.append(cuts[1:], len(doc)) if len(doc) else []):
             spans[doc[lo]] = [{"start": a, "end": b} for a, b in _merged(first[lo:hi], first[lo:hi] + phrases.sizes[which[lo:hi]])]
-            items[doc[lo]] = sorted({i for p in np.unique(which[lo:hi]).tolist() for i in phrases.items[p]})
+            items[doc[lo]] = sorted({i for p in np.unique(which[lo:hi]).tolist() for i in phrases.items[p]}, key=lambda i: (i is None, i))
         key, words = zip(*rows)
         return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip((key, words, spans, items), schema)], schema=schema)
 
@@ -252,12 +252,18 @@ def _scan(phrases: Phrases, schema: pa.Schema):
     return run
 
 
+def _slice(bench: DataFrame, slices: int, k: int) -> list[tuple[int | None, bytes]]:
+    """Slice k of the items (item, text): all of one item, those without an id by their texts."""
+    at = F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(slices))
+    return [(i, t.encode()) for i, t in bench.where(at == k).orderBy("item", "text").collect()]
+
+
 OUT = "id long, n_words long, spans array<struct<start: long, end: long>>, items array<long>"
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slice_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: id, n_words, spans (merged, in words, end exclusive) and the items that occur in it."""
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), c.text_of(item_text_col).alias("text")).where("item is not null")
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), c.text_of(item_text_col).alias("text"))
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-total // slice_bytes))
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
@@ -268,8 +274,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         flat = flat.select(F.col("row").alias("id"), "text")
     found = None
     for k in range(slices):
-        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).orderBy("item", "text").collect()
-        one = flat.mapInArrow(c.tidy(_scan(Phrases([(i, t.encode()) for i, t in part], window), schema)), OUT)
+        part = _slice(bench, slices, k)
+        one = flat.mapInArrow(c.tidy(_scan(Phrases(part, window), schema)), OUT)
         found = one if found is None else found.union(one)
     if slices > 1:
         found = found.groupBy("id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
@@ -296,9 +302,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     columns = c.bounded_batches(docs).columns
     spot = columns.index(text_col)
     for k in range(slices):
-        bench = benchmark.select(F.col("item_id").cast("long").alias("item"), c.text_of("text").alias("text")).where("item is not null")
-        part = bench.where(F.pmod(F.xxhash64("item"), F.lit(slices)) == k).orderBy("item", "text").collect()
-        docs = docs.mapInArrow(c.tidy(_clean(Phrases([(i, t.encode()) for i, t in part], window), spot)), docs.schema)
+        bench = benchmark.select(F.col("item_id").cast("long").alias("item"), c.text_of("text").alias("text"))
+        part = _slice(bench, slices, k)
+        docs = docs.mapInArrow(c.tidy(_clean(Phrases(part, window), spot)), docs.schema)
     return docs
 
 
@@ -335,5 +341,5 @@ def _clean(phrases: Phrases, spot: int):
     return run
 
 
-def digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+def digest(items: list[int | None]) -> str:
+    return hashlib.sha256(",".join(sorted(str(i) for i in items if i is not None)).encode()).hexdigest()
