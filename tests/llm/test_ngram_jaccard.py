@@ -89,3 +89,28 @@ def test_one_row_of_each_group_stays(spark):
     assert out.columns == df.columns
     got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
     assert got == sorted([(1, "A b c d e f"), (None, "only null"), (5, "other words"), (5, "third text"), (7, None), (7, ""), (8, "")], key=str)
+
+
+def test_every_link_is_counted(spark):
+    from tidemark.llm.ngram_jaccard import similarity_links
+
+    rng = random.Random(13)
+    vocab = [f"v{i}" for i in range(3000)]
+    rows = [(None, None), (900, ""), (901, "alone")]
+    for size, most, long in ((90, 4, 300), (4, 1, 60), (60, 3, 60)):  # a dense cloud, some near copies, a loose group
+        seedling = [rng.choice(vocab) for _ in range(long)]
+        for _ in range(size):
+            words = list(seedling)
+            for _ in range(rng.randint(0, most)):
+                words[rng.randrange(long)] = rng.choice(vocab)
+            rows += [(len(rows), " ".join(words))] * rng.choice([1, 1, 3])
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((t or "").split() for _, t in rows)]
+    linked = lambda x, y: x and y and 100 * len(x & y) >= 80 * len(x | y)
+    want = [(d, min((e for (e, _), y in zip(rows, sets) if y == x), default=d) if x else d, sum(bool(linked(x, y)) for y in sets) - bool(x)) for (d, _), x in zip(rows, sets)]
+    distinct = {frozenset(x) for x in sets if x}
+    pairs = sum(bool(linked(x, y)) for x in distinct for y in distinct) - len(distinct)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = similar_groups(df, count_links=True, block=20).select("doc_id", "class_first", "n_links")  # cut into cells
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted(want, key=str)
+    ends = [tuple(r) for r in similarity_links(df).collect()]
+    assert all(a < b for a, b in ends) and len(ends) == len(set(ends)) == pairs // 2

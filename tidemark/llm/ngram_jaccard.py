@@ -14,8 +14,11 @@ Plan, each step a shuffle of bounded units:
    different components in a tile are left; parity bitmaps bound their overlap from above, (c1 + c2 - hamming) / 2,
    before the exact intersection of the sorted arrays.
 
+5. Links are counted on demand.  They all lie within components, so the classes of each component are cut into blocks
+   and every two blocks meet in a cell, where bitmaps bound all pairs and those left are intersected exactly.
+
 Nothing is dropped or capped: a link between classes of one component is redundant for components, all others are
-verified exactly.  Shingles and classes are 64-bit hashes; a shared shingle goes by 40 bits and its range's number.
+verified exactly; with the count, or as `links`, each link is.  Shingles and classes are 64-bit hashes; a shared shingle goes by 40 bits and its range's number.
 
 Edge cases: null or wordless text has an empty set and links with nothing; texts shorter than `n` words are one
 shingle; repeated rows and equal texts share a class; a null id takes part but is never a component's id (which is
@@ -33,6 +36,7 @@ from . import _common as c
 
 FLUSH = 700_000
 WORDS = 8  # of a bitmap
+BLOCK = 512  # classes of a component that meet as one side of a cell
 _ODD = np.random.default_rng(20240601).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEPT = np.uint64(40)  # bits that name a shingle within its range
 _LOW = np.uint64((1 << 40) - 1)
@@ -288,6 +292,92 @@ def _verify(pct: int):
     return run
 
 
+def _meet(x, y, pct: int) -> np.ndarray:
+    """Which classes of x link with which of y; x and y are (sizes, token arrays, bitmaps)."""
+    (m, s, u), (n, t, v) = x, y
+    cx, cy = np.array([len(a) for a in s], np.int64), np.array([len(a) for a in t], np.int64)
+    hamming = np.zeros((len(s), len(t)), np.int64)
+    for i in range(WORDS):
+        hamming += np.bitwise_count(u[:, i, None] ^ v[None, :, i])
+    bound = np.minimum((cx[:, None] + cy[None, :] - hamming) // 2, np.minimum(cx[:, None], cy[None, :]))
+    total = m[:, None] + n[None, :]
+    open_ = bound * (100 + pct) >= total * pct
+    rows, cols = np.flatnonzero(open_.any(1)), np.flatnonzero(open_.any(0))
+    hit = np.zeros_like(open_)
+    if 8 * open_.sum() < len(rows) * len(cols) or len(rows) * len(cols) < 64:
+        for i, j in np.argwhere(open_).tolist():
+            both = len(np.intersect1d(s[i], t[j], assume_unique=True))
+            hit[i, j] = both * (100 + pct) >= total[i, j] * pct
+        return hit
+    # many pairs: overlaps of all at once, as a product of 0-1 matrices over slices of their tokens
+    flat = np.concatenate([s[i] for i in rows] + [t[j] for j in cols])
+    owner = np.repeat(np.arange(len(rows) + len(cols)), np.concatenate([cx[rows], cy[cols]]))
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    at = np.cumsum(np.append(False, flat[1:] != flat[:-1]))
+    both = np.zeros((len(rows), len(cols)), np.int64)
+    for lo in range(0, int(at[-1]) + 1, 8192):
+        a, b = np.searchsorted(at, [lo, lo + 8192])
+        has = np.zeros((len(rows) + len(cols), int(at[b - 1]) + 1 - lo), np.float32)
+        has[owner[a:b], at[a:b] - lo] = 1
+        both += (has[: len(rows)] @ has[len(rows) :].T).astype(np.int64)
+    hit[np.ix_(rows, cols)] = both * (100 + pct) >= total[np.ix_(rows, cols)] * pct
+    return hit & open_
+
+
+def _cell(pct: int, pairs: bool):
+    """Of the classes of a cell, as (a, b): its links, or each class that has any with the documents it links to."""
+
+    def run(table):
+        side = table.column("side").to_numpy()
+        cls, n, w = (table.column(x).to_numpy() for x in ("cls", "n", "w"))
+        toks = [np.frombuffer(raw, np.uint64) for raw in table.column("toks").to_pylist()]
+        bits = np.array([bitmap(t) for t in toks], np.int64).reshape(-1, WORDS).view(np.uint64)
+        part = lambda at: (n[at], [toks[i] for i in at.tolist()], bits[at])
+        cut = lambda at: [at[i : i + BLOCK] for i in range(0, len(at), BLOCK)]
+        left, right = cut(np.flatnonzero(side == 0)), cut(np.flatnonzero(side == 1))
+        alone = table.column("lo")[0] == table.column("hi")[0]
+        total, out = np.zeros(len(cls), np.int64), []
+        for i, x in enumerate(left):
+            for y in left[i:] if alone else right:
+                hit = _meet(part(x), part(y), pct)
+                if x is y:
+                    hit = np.triu(hit, 1)
+                if pairs:
+                    at = np.argwhere(hit)
+                    out.append((cls[x[at[:, 0]]], cls[y[at[:, 1]]]))
+                else:
+                    total[x] += hit @ w[y]
+                    total[y] += w[x] @ hit
+        if pairs:
+            a, b = (np.concatenate(x) for x in zip(*out)) if out else (np.empty(0, np.int64),) * 2
+            a, b = np.minimum(a, b), np.maximum(a, b)
+        else:
+            a, b = cls[total > 0], total[total > 0]
+        c.release()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _all_links(held: DataFrame, classes: DataFrame, pct: int, pairs: bool, block: int) -> DataFrame:
+    """(a, b) of every link between classes, a < b, or (cls, others): the documents of other classes each links to.
+
+    `classes` has (cls, comp, weight).  Components of more than a block are cut by a hash of the class; the smaller
+    ones share cells, where classes of different components do not link."""
+    size = c.materialize(classes.groupBy("comp").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
+    placed = c.materialize(classes.join(size, "comp").select("cls", "comp", "m", F.col("weight").alias("w")), "placed")
+    small = placed.where(F.col("m") <= block).agg(F.count("*")).first()[0]
+    bins = max(1, -(-small // block))
+    k = F.ceil(F.col("m") / block).cast("int")
+    rows = held.join(placed, "cls").withColumn("k", k).withColumn("own", F.when(F.col("k") > 1, F.pmod(F.xxhash64("cls"), F.col("k"))).otherwise(0).cast("int"))
+    rows = rows.withColumn("comp", F.when(F.col("k") > 1, F.col("comp")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(bins))))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    cells = rows.select((F.col("k") > 1).alias("cut"), "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "n", "w", "toks")
+    found = cells.groupBy("cut", "comp", "lo", "hi").applyInArrow(_cell(pct, pairs), "a long, b long")
+    return found if pairs else found.groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
+
+
 def _links(pairs: DataFrame, held: DataFrame, pct: int) -> DataFrame:
     left = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
@@ -336,8 +426,8 @@ def text_key(text_col: str = "text"):
     return F.xxhash64(c.text_of(text_col))
 
 
-def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, pct: int = 80) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id, class_id, text_key; sets link at 100 * |A and B| >= pct * |A or B|."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (id, key, cls, n), the classes that may have partners (cls, n, toks), and (cls, comp) of those that have some."""
     parts = c.partitions_for(c.bounded_batches(docs), 16 << 20)
     need = lambda m, pct=pct: max(1, -(-pct * m // 100))
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
@@ -380,16 +470,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     more = l.join(r, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & ordered & fits & (bound * (100 + pct) >= (F.col("l.n") + F.col("r.n")) * pct))
     more = more.select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
     links = c.materialize(links.union(_links(more, held, pct)), "links")
-    groups = c.components(links).withColumnsRenamed({"node": "cls", "component": "comp"})
+    return rows, held, c.components(links).withColumnsRenamed({"node": "cls", "component": "comp"})
+
+
+def similarity_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, pct: int = 80, block: int = BLOCK) -> DataFrame:
+    """Every link (a, b) between different classes, a < b; `similar_groups` says by class_id which class a row is of."""
+    _, held, groups = _grouped(docs, id_col, text_col, n, pct)
+    return _all_links(held, groups.withColumn("weight", F.lit(1).cast("long")), pct, True, block)
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, pct: int = 80, count_links: bool = False, block: int = BLOCK) -> DataFrame:
+    """One row per input row: id, n_shingles, component_id, class_id, text_key; sets link at 100 * |A and B| >= pct * |A or B|.
+
+    With `count_links` also class_first, the smallest id of the class (of a wordless row its own), and n_links, the number
+    of other rows the row's set links to, those of its own class included."""
+    rows, held, groups = _grouped(docs, id_col, text_col, n, pct)
 
     # the smallest id of each component, by way of classes: copies are summed up before anything is joined
-    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("first")).join(groups, "cls", "left")
+    classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("first"), F.count("*").alias("weight")).join(groups, "cls", "left")
     classes = c.materialize(classes.withColumn("comp", F.coalesce("comp", "cls")), "classes")
     least = c.materialize(classes.groupBy("comp").agg(F.min("first").alias("least")), "least")
-    named = c.materialize(classes.join(least, "comp").select("cls", "comp", "least"), "named")
+    own = ["first", "weight"] if count_links else []
+    named = c.materialize(classes.join(least, "comp").select("cls", "comp", "least", *own), "named")
+    if count_links:
+        others = c.materialize(_all_links(held, classes.select("cls", "comp", "weight"), pct, False, block), "others")
+        named = c.materialize(named.join(others, "cls", "left"), "counted")
     rows = rows.join(named, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("id"))
-    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"), F.col("key").alias("text_key"), "comp")
+    more = []
+    if count_links:
+        links = F.when(F.col("n") > 0, F.col("weight") - 1 + F.coalesce("others", F.lit(0))).otherwise(0)
+        more = [F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("id")).alias("class_first"), links.cast("long").alias("n_links")]
+    return rows.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("cls").alias("class_id"), F.col("key").alias("text_key"), "comp", *more)
 
 
 def first_of_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, pct: int = 80) -> DataFrame:
