@@ -92,3 +92,11 @@ def test_dedup_against_random_history(spark, seed):
     want = {r[0] for r in rows if not any(h[1:3] == r[1:3] and same(h[3], r[3]) and same(h[4], r[4]) for h in hist)}
     df = lambda x: spark.createDataFrame(x, "ord int, k string, t int, fp string, av int")
     assert {r.ord for r in dedup.new_rows(df(rows), df(hist), ["k", "t"], ["fp", "av"]).collect()} == want
+
+
+def test_every_arrival_enters_a_daily_status(spark):
+    from tidemark import queries
+
+    d = "/root/testdata/sf0.001"
+    got = {(r.user_id, r.data_ts) for r in queries.QUERIES["guard_status_daily"](spark, d).collect()}
+    assert got == {(r.user_id, r.data_ts) for r in queries.arrivals(spark, d).collect()}

@@ -180,6 +180,13 @@ def guard_status(spark, d):
     return folded.where("seq % 40 = 7").groupBy("user_id").agg(guard.overall(F.col("outcome")).alias("status"))
 
 
+@query(f"WITH {GUARD_SQL} SELECT user_id, d AS data_ts, CASE WHEN bool_or(outcome LIKE 'written%') THEN 'written' WHEN bool_or(outcome = 'skipped_stale') THEN 'skipped_stale' ELSE 'noop' END AS status FROM o GROUP BY user_id, d")
+def guard_status_daily(spark, d):
+    """The status of all arrivals, a write batch being a user's day."""
+    folded = guard.fold(arrivals(spark, d), ["user_id"])
+    return folded.groupBy("user_id", "data_ts").agg(guard.overall(F.col("outcome")).alias("status"))
+
+
 @query(f"WITH {GUARD_SQL} SELECT user_id, max(seq) AS seq, arg_max(d, seq) AS data_ts FROM o WHERE outcome LIKE 'written%' GROUP BY user_id")
 def fold_streaming_equivalence(spark, d):
     """The same table once more, from a file stream of several micro-batches."""
