@@ -1,15 +1,23 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes.
 
 The patterns (e-mail, IPv4, payment card by Luhn, international phone) stand as they are.  The field adds spans that
-patterns miss - names after a title or cue, national numbers and local phone numbers, street addresses - from the
-shapes of words: which kinds of characters they hold, how they start and end, their length, and whether they are one
-of a few cue words.  It is trained here, by gradient ascent on the exact log-likelihood, from a small labelled table
-(`labelled_table`, or one the caller gives).  Each line of a text is a sequence; sequences of a batch are decoded
-together by Viterbi in numpy, longest first, so that a step works on all sequences that are still running.
+patterns miss, from the shapes of words: which kinds of characters they hold, how they start and end, their length,
+and whether they are one of a few cue words.
+
+* name: one to four capitalised words, none twice, at most `REACH` words after a title or cue;
+* number: a national or local number of 7 to 15 digits, likewise after a cue;
+* address: a house number, a street's name and its kind (the last cue words), six words at most.
+
+What the field proposes and is not of that form is left out.  It is trained here, by gradient ascent on the exact
+log-likelihood, from a small labelled table (`labelled_table`, or one the caller gives).  Each line of a text is a
+sequence; lines of more than `WINDOW` words are decoded in windows that overlap by `LAP` words, each word by the window
+it is further inside of.  Sequences of a batch are decoded together by Viterbi in numpy, longest first, so that a step
+works on all sequences that are still running; texts of more than `PIECE` bytes go in pieces that end at a line or,
+with an overlap of `LAP` words, at a word, so that memory does not grow with a text or a line.
 
 Edge cases: null is an empty text and has no spans; offsets are code points, end exclusive; a span of the field that
-touches a pattern's span is left out; repeated rows get the same spans; a null id is kept; very long texts and lines
-are decoded whole; other columns are ignored; an empty table gives an empty one.
+touches a pattern's span is left out; repeated rows get the same spans; a null id is kept, ids are whole numbers; other
+columns are ignored; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,6 +37,8 @@ from . import _common as c
 KINDS = ["email", "ip", "card", "phone"]
 ADDED = ["name", "number", "address"]
 LABELS = ["O"] + [f"{p}-{k}" for k in ADDED for p in "BI"]
+WINDOW, LAP = 512, 64
+PIECE = 1 << 20
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 #: A match cannot start within a run of digits that it or a match before it has not eaten, hence the look-behind.
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
@@ -137,18 +147,25 @@ class Field:
         return out
 
     def viterbi(self, scores: np.ndarray, fresh: np.ndarray) -> np.ndarray:
-        """The best label of each word; sequences begin where `fresh` is set."""
+        """The best label of each word; sequences begin where `fresh` is set, long ones are decoded in windows."""
         n = len(scores)
-        begin = np.flatnonzero(fresh)
-        length = np.diff(np.append(begin, n))
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
         path = np.zeros(n, np.int8)
         if not n:
             return path
+        begin = np.flatnonzero(fresh)
+        length = np.diff(np.append(begin, n))
+        step = WINDOW - LAP
+        windows = np.maximum(1, -(-(length - LAP) // step))
+        nth = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+        last = nth + 1 == np.repeat(windows, windows)
+        rest = np.repeat(length, windows) - nth * step
+        begin, length = np.repeat(begin, windows) + nth * step, np.where(last, rest, WINDOW)
+        low, high = np.where(nth > 0, LAP // 2, 0), np.where(last, length, WINDOW - LAP // 2)  # the words a window decides
+        order = np.argsort(-length, kind="stable")
+        begin, length, nth, low, high = (x[order] for x in (begin, length, nth, low, high))
         move = self.move[:-1].astype(np.float32).T.copy()  # to, from
         running = np.searchsorted(-length, -np.arange(1, length[0] + 1), side="right")
-        best = scores[begin] + self.move[-1].astype(np.float32)
+        best = scores[begin] + np.where((nth > 0)[:, None], 0, self.move[-1]).astype(np.float32)
         back, state = [], np.zeros(len(begin), np.int8)
         ended = [best]
         for t in range(1, length[0]):
@@ -157,15 +174,14 @@ class Field:
             back.append(ways.argmax(2).astype(np.int8))
             best = np.take_along_axis(ways, back[-1][:, :, None].astype(np.int64), 2)[:, :, 0] + scores[begin[:k] + t]
             ended.append(best)
-        done = 0
         for t in range(length[0] - 1, -1, -1):
             k = running[t]
-            if t + 1 < length[0]:
-                up = running[t + 1]
+            up = running[t + 1] if t + 1 < length[0] else 0
+            if up:
                 state[:up] = back[t][np.arange(up), state[:up]]
-            done = running[t + 1] if t + 1 < length[0] else 0
-            state[done:k] = ended[t][done:k].argmax(1)
-            path[begin[:k] + t] = state[:k]
+            state[up:k] = ended[t][up:k].argmax(1)
+            own = (low[:k] <= t) & (t < high[:k])
+            path[begin[:k][own] + t] = state[:k][own]
         return path
 
 
@@ -187,7 +203,7 @@ LAST_NAMES = "Smith Miller Garcia Keller Dubois Novak Brown Rossi Jensen Walker"
 PLAIN = "the of and to in that was for on are with as his they at be this from or had by word but what some we can out other were all there when up use your how said each she which their time if will way about many then them write would like so these her long make thing see him two has look more day could go come did number sound no most people my over know water than first who may down side been now find".split()
 
 
-def labelled_table(size: int = 1200, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
+def labelled_table(size: int = 900, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
     """A small labelled table, made by rule: (text, [(kind, start, end)])."""
     rng = np.random.default_rng(seed)
     pick = lambda x: x[int(rng.integers(len(x)))]
@@ -196,6 +212,38 @@ def labelled_table(size: int = 1200, seed: int = 11) -> list[tuple[str, list[tup
     say = lambda: pick(PLAIN) if rng.random() < 0.5 else "".join(pick(sounds) for _ in range(int(rng.integers(1, 6))))
     talk = lambda lo, hi: [say() for _ in range(int(rng.integers(lo, hi)))]
 
+    def proper():
+        own = "".join(pick(sounds) for _ in range(int(rng.integers(1, 5)))).title()
+        front, tail = rng.random() < 0.08, rng.random() < 0.08
+        return pick(["O'", "Mc", "al-", "d'"]) * front + own + ("-" + pick(sounds).title()) * tail
+
+    def person():
+        """One to four different words: given names, perhaps an initial, a family name."""
+        given = [pick([proper(), pick(FIRST_NAMES), pick(LAST_NAMES)]) for _ in range(int(rng.integers(0, 3)))]
+        middle = [pick("ABCDEFGH") + "."] if rng.random() < 0.15 else []
+        return " ".join(dict.fromkeys([*given, *middle, pick([proper(), pick(LAST_NAMES)])]))
+
+    def number():
+        if rng.random() < 0.3:
+            return digits(int(rng.integers(7, 11)))
+        groups = [digits(int(rng.integers(2, 5))) for _ in range(int(rng.integers(2, 4)))]
+        while sum(map(len, groups)) < 7:
+            groups.append(digits(3))
+        return pick([f"({groups[0]}) " + "-".join(groups[1:]) if len(groups) > 2 else f"({groups[0]}) {digits(7)}", "-".join(groups), "-".join(groups), f"0{groups[0]} {digits(7)}"])
+
+    def address():
+        street = " ".join(dict.fromkeys(pick([proper(), pick(LAST_NAMES)]) for _ in range(int(rng.integers(1, 3)))))
+        return f"{digits(int(rng.integers(1, 4)))}{pick(['', '', '', 'b'])} {street} {pick(['Street', 'St', 'Avenue', 'Ave.', 'Road', 'Rd', 'Lane', 'Ln', 'St.', 'Rd.'])}"
+
+    def data(kind):
+        if kind == "name":
+            cue = pick(["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Mr.", "Mrs.", "Dr.", "Prof.", "Sir", "Madam", "name:", "Name:", "contact", "Contact:", "Contact", "signed", "Signed:", "Dear"])
+            return [(cue, None), (person(), kind)]
+        if kind == "number":
+            cue = pick(["ssn", "SSN:", "SSN", "id", "ID:", "passport", "Passport", "account", "Account", "no.", "call", "Call", "tel", "Tel:", "phone", "Phone:", "fax", "Fax", "mobile", "Mobile:"])
+            return [(cue, None), (number(), kind)]
+        return [(pick(["", "", "at", "to", "in", ",", "address:"]), None), (address(), kind)]
+
     def prose():
         """A few sentences, some of one word, some shouted, listed or with odd marks."""
         out = []
@@ -211,35 +259,42 @@ def labelled_table(size: int = 1200, seed: int = 11) -> list[tuple[str, list[tup
     out = []
     for row in range(size):
         parts: list[tuple[str, str | None]] = [(w, None) for w in (prose() if rng.random() < 0.7 else []) + talk(1, 6)]
-        kind = row % 16
-        name = f"{pick(FIRST_NAMES)} {pick(LAST_NAMES)}"
-        if kind == 0:
-            parts += [(pick(["Mr", "Mrs", "Ms", "Dr", "Mr.", "Dr."]), None), (pick([name, pick(LAST_NAMES)]), "name")]
-        elif kind == 1:
-            parts += [(pick(["name:", "Name:", "contact", "Contact:", "signed", "Signed"]), None), (name, "name")]
-        elif kind == 2:
-            parts += [(pick(["ssn", "SSN:", "id", "ID:", "passport", "account"]), None), (pick([f"{digits(3)}-{digits(2)}-{digits(4)}", digits(9), f"{digits(2)}-{digits(7)}"]), "number")]
-        elif kind == 3:
-            parts += [(pick(["call", "tel", "Tel:", "phone", "Phone:", "fax", "mobile"]), None), (pick([f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(2)} {digits(7)}"]), "number")]
-        elif kind == 4:
-            parts += [(f"{digits(int(rng.integers(1, 4)))} {pick(LAST_NAMES)} {pick(['Street', 'St', 'Avenue', 'Road', 'Lane', 'Rd.'])}", "address")]
+        if row % 12 < 7:  # two pieces of personal data, text between
+            for kind in (ADDED[row % 3], ADDED[row // 3 % 3]):
+                parts += data(kind) + [(pick(["", "", "", ",", ".", " ,", ";"]), None)] + [(w, None) for w in talk(1, 6)]
         else:  # clean text of many shapes, with what might be taken for personal data
             for _ in range(int(rng.integers(1, 6))):
                 parts += [(pick([digits(4), digits(2), f"{digits(1)}.{digits(2)}", pick(PLAIN).upper() + "!!", pick(PLAIN).title(), pick(PLAIN).title() + " " + pick(PLAIN).title(), pick(PLAIN) + "***", "|", f"v{digits(1)}.{digits(1)}", pick(PLAIN) + ".", pick(CUES).decode(), pick(CUES).decode().title() + " " + pick(PLAIN), "ümlaut", f"https://a{digits(2)}.example/{digits(3)}", digits(24), f"{digits(4)}-{digits(2)}-{digits(2)}"]), None)] + [(w, None) for w in talk(0, 3)]
+            odd = rng.integers(12)
+            if odd == 0:  # one word over and over
+                own = pick([str.title, str.upper, str.lower])(say())
+                parts += [(own, None)] * int(rng.integers(2, 12))
+            elif odd == 1:  # a headline, with a number before it or not
+                parts += [(w, None) for w in ([digits(int(rng.integers(1, 4)))] if rng.random() < 0.5 else []) + [w.title() for w in talk(2, 8)]]
+            elif odd == 2:  # digits without a cue
+                parts += [(pick([digits(9), digits(10), digits(16), f"{digits(3)}-{digits(4)}", f"{digits(2)}.{digits(3)}.{digits(2)}.{digits(1)}", f"{digits(2)}:{digits(2)}", f"${digits(3)}"]), None)]
+            elif odd == 3:  # a numbered list of names of things
+                for i in range(int(rng.integers(2, 5))):
+                    parts += [(f"{i + 1}.", None), (say().title(), None), (say(), None)]
+            elif odd == 4:  # all words with one mark behind
+                mark = pick(["!!", "***", "&&&", "%%%", "$$$", "###", ","])
+                parts += [(pick([str.title, str.upper, str.lower])(w) + mark, None) for w in talk(2, 10)]
             parts += [(w, None) for w in prose()]
         parts += [(w, None) for w in talk(1, 7)] + [(w, None) for w in (prose() if row % 5 == 0 else [])]
         if row % 3 == 0:
             parts[0] = (parts[0][0].title(), parts[0][1])
         text, spans = "", []
         for word, label in parts:
+            if not word:
+                continue
             if label:
                 spans.append((label, len(text), len(text) + len(word)))
-            text += word + " "
+            text += word + ("\n" if rng.random() < 0.08 else " ")
         out.append((text[:-1] + pick(["", ".", ""]), spans))
     return out
 
 
-def train(table, steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> Field:
+def train(table, steps: int = 100, rate: float = 0.15, decay: float = 3e-4) -> Field:
     """Adam on the exact log-likelihood, forward and backward over all sequences of the table at once."""
     codes, gold, begin = [], [], []
     for text, spans in table:
@@ -329,24 +384,84 @@ def _printed(spans) -> str:
     return ",".join(f"{names[k]}:{a}:{b}" for k, a, b in spans)
 
 
-def added_spans(texts: list[bytes], field: Field, tables: np.ndarray) -> list[list[tuple[int, int, int]]]:
-    """The field's spans of each text, in code points."""
-    out: list[list] = [[] for _ in texts]
-    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+NAMED, NUMBERED, STREETS = frozenset(CUES[:12]), frozenset(CUES[12:23]), frozenset(CUES[-8:])
+REACH = 3  # words before a span among which its cue stands
+
+
+def well_formed(kind: str, words: list[bytes], before: list[bytes]) -> bool:
+    """Whether a span's words, and those before it, have the form its kind asks for."""
+    words, before = [w.strip(b".,:;!?") for w in words], [w.strip(b".,:;!?#").lower() for w in before]
+    if kind != "address" and not (NAMED if kind == "name" else NUMBERED) & set(before):
+        return False
+    if kind == "name":
+        capital = all(w.lower() != w or w[:1] >= b"\x80" for w in words) and not any(w.isupper() and len(w) > 1 for w in words)
+        return 1 <= len(words) <= 4 and len(set(words)) == len(words) and capital and not any(ch in b"0123456789@/#$%&*" for w in words for ch in w)
+    count = sum(48 <= ch <= 57 for w in words for ch in w)
+    if kind == "number":
+        return len(words) <= 4 and 7 <= count <= 15 and not any(ch not in b"0123456789+-()./" for w in words for ch in w)
+    return 3 <= len(words) <= 6 and words[0][:1].isdigit() and words[-1].lower() in STREETS and len(set(words)) == len(words)
+
+
+def _spans(raw: np.ndarray, field: Field, tables: np.ndarray) -> tuple[list, np.ndarray, np.ndarray]:
+    """Well-formed spans (kind, start, end) of a byte buffer, in bytes, and the words' places."""
     starts, ends, codes, fresh = tokens(raw)
-    if not len(starts):
-        return out
-    found = spans_of(field.viterbi(field.scores(codes, fresh, tables), fresh), fresh)
-    if found:
-        edges = np.cumsum([0] + [len(t) + 1 for t in texts])
-        points = np.append(0, np.cumsum((raw & 0xC0) != 0x80))
-        for kind, first, last in found:
+    out = []
+    if len(starts):
+        for kind, first, last in spans_of(field.viterbi(field.scores(codes, fresh, tables), fresh), fresh):
             a, b = int(starts[first]), int(ends[last])
             while b > a + 1 and raw[b - 1] in b".,:;!?":
                 b -= 1
-            doc = int(np.searchsorted(edges, a, side="right")) - 1
-            base = points[edges[doc]]
-            out[doc].append((len(KINDS) + kind, int(points[a] - base), int(points[b] - base)))
+            before = raw[starts[max(0, first - REACH)] : a].tobytes().rpartition(b"\n")[2].split()
+            if well_formed(ADDED[kind], raw[a:b].tobytes().split(), before):
+                out.append((kind, a, b))
+    return out, starts, ends
+
+
+def _long(text: bytes, field: Field, tables: np.ndarray) -> list[tuple[int, int, int]]:
+    """The same of one text of any length, piece by piece; offsets in bytes of the text."""
+    out, at, free = [], 0, 0  # free: where the spans of the pieces before end
+    while at < len(text):
+        stop = at + PIECE
+        if stop >= len(text):
+            stop, line = len(text), True
+        else:
+            cut = text.rfind(b"\n", at + PIECE // 2, stop)
+            line = cut >= 0
+            if line:
+                stop = cut + 1
+            else:
+                while stop < len(text) and not _SPACE[text[stop]]:  # to the end of a word, however long
+                    stop += 1
+                line = stop == len(text)
+        found, starts, _ = _spans(np.frombuffer(text[at:stop], np.uint8), field, tables)
+        words = len(starts)
+        over = not line and words > 2 * LAP
+        until = int(starts[words - LAP // 2]) if over else stop - at
+        out += [(k, at + a, at + b) for k, a, b in found if at + a >= free and a < until]
+        free = max([at + until] + [b for _, _, b in out[-1:]])
+        at = at + int(starts[words - LAP]) if over else stop
+    return out
+
+
+def added_spans(texts: list[bytes], field: Field, tables: np.ndarray) -> list[list[tuple[int, int, int]]]:
+    """The field's spans of each text, in code points."""
+    out: list[list] = [[] for _ in texts]
+    short = [i for i, t in enumerate(texts) if len(t) <= PIECE]
+    found = []
+    if short:
+        edges = np.cumsum([0] + [len(texts[i]) + 1 for i in short])
+        for kind, a, b in _spans(np.frombuffer(b"\n".join(texts[i] for i in short) + b"\n", np.uint8), field, tables)[0]:
+            j = int(np.searchsorted(edges, a, side="right")) - 1
+            found.append((short[j], kind, a - int(edges[j]), b - int(edges[j])))
+    found += [(i, *s) for i, t in enumerate(texts) if len(t) > PIECE for s in _long(t, field, tables)]
+    points = lambda part: len(part.decode("utf-8", "replace"))
+    done: dict[int, tuple[int, int]] = {}  # how far a text's code points are counted
+    for i, kind, a, b in found:
+        at, count = done.get(i, (0, 0))
+        start = count + points(texts[i][at:a])
+        end = start + points(texts[i][a:b])
+        done[i] = (b, end)
+        out[i].append((len(KINDS) + kind, start, end))
     return out
 
 
