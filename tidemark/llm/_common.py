@@ -81,10 +81,9 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def partitions_for(df: DataFrame, bytes_each: int, most: int = 1 << 15) -> int:
-    """A power of two of partitions, from the estimated size and the session's shuffle partitions."""
-    wanted = max(plan_bytes(df) // bytes_each, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2)
-    return min(most, 1 << (int(wanted) - 1).bit_length())
+def partitions_for(df: DataFrame, bytes_each: int, least: int = 2, most: int = 1 << 15) -> int:
+    """A power of two of partitions, from the estimated size; `least` and `most` bound it."""
+    return min(most, 1 << (max(plan_bytes(df) // bytes_each, least, 2) - 1).bit_length())
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -34,13 +34,15 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-FLUSH = 700_000
+FLUSH = (1_000_000, 3_000_000)  # shingles a task holds before it deals them: more with more ranges, within these bounds
+RANGE = 32 << 20  # bytes of input whose shingles make a range
 WORDS = 8  # of a bitmap
 BLOCK = 512  # classes of a component that meet as one side of a cell
 _ODD = np.random.default_rng(20240601).integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _KEPT = np.uint64(40)  # bits that name a shingle within its range
 _LOW = np.uint64((1 << 40) - 1)
-_SHARED = np.uint64(0xFFFF)
+PIECES = 4  # of a range of shingles, a power of two
+_WIDE = 7  # bytes of a shingle's number: 40 bits within its range, 16 for the range
 PACKED = "part int, kind int, a binary, b binary, d binary"
 
 
@@ -82,116 +84,142 @@ def _batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], names)
 
 
-def _by_class(classes: np.ndarray, tokens: np.ndarray, parts: int, kind: int):
-    """Rows of (classes, counts, tokens), dealt by the class's top bits."""
-    order = np.argsort(classes, kind="stable")
-    classes, tokens = classes[order], tokens[order]
-    uniq, first = np.unique(classes, return_index=True)
-    ends = np.append(first[1:], len(classes))
-    to = (uniq >> np.uint64(48)).astype(np.int64) * parts >> 16
-    cuts = np.searchsorted(to, np.arange(parts + 1))
-    for p in np.flatnonzero(np.diff(cuts)).tolist():
-        lo, hi = cuts[p], cuts[p + 1]
-        counts = (ends[lo:hi] - first[lo:hi]).astype(np.uint32)
-        yield _row(p, kind, uniq[lo:hi].tobytes(), counts.tobytes(), tokens[first[lo] : ends[hi - 1]].tobytes())
+def _range_of(classes: np.ndarray, parts: int) -> np.ndarray:
+    return (classes >> np.uint64(40)).astype(np.int64) * parts >> 24
 
 
-def _docs_by_class(ids, valid, keys, classes, sizes, parts):
-    to = (classes >> np.uint64(48)).astype(np.int64) * parts >> 16
-    for p in np.unique(to).tolist():
-        m = to == p
-        yield _row(p, 2, np.stack([ids[m], valid[m], keys[m]]).tobytes(), classes[m].tobytes(), sizes[m].tobytes())
+def _planes(tokens: np.ndarray, size: int) -> bytes:
+    """Numbers of `size` bytes as planes of their low words and their higher bytes; planes of few values compress."""
+    high = [(tokens >> np.uint64(8 * i)).astype(np.uint8).tobytes() for i in range(4, size)]
+    return tokens.astype(np.uint32).tobytes() + b"".join(high)
 
 
-def _squeeze(sorted_tokens: np.ndarray) -> bytes:
-    """Sorted 40-bit numbers as all their high bytes, which compress to almost nothing, then their low words."""
-    return (sorted_tokens >> np.uint64(32)).astype(np.uint8).tobytes() + sorted_tokens.astype(np.uint32).tobytes()
+def _numbers(raw: bytes, size: int) -> np.ndarray:
+    n = len(raw) // size
+    out = np.frombuffer(raw, np.uint32, n).astype(np.uint64)
+    for i in range(4, size):
+        out |= np.frombuffer(raw, np.uint8, n, i * n).astype(np.uint64) << np.uint64(8 * i)
+    return out
+
 
+def _runs(sorted_names: np.ndarray):
+    """(names, first places, lengths) of the runs of a sorted array."""
+    first = np.flatnonzero(np.append(True, sorted_names[1:] != sorted_names[:-1])) if len(sorted_names) else np.empty(0, np.int64)
+    return sorted_names[first], first, np.diff(np.append(first, len(sorted_names)))
 
-def _loosen(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, np.uint8, n).astype(np.uint64) << np.uint64(32) | np.frombuffer(raw, np.uint32, n, n)
+
+def _by_class(classes: np.ndarray, tokens: np.ndarray, parts: int):
+    """Rows of (classes, counts, tokens), each pair once, dealt by the class's top bits."""
+    order = np.lexsort((tokens, classes))
+    classes, tokens = classes[order], tokens[order]
+    new = np.append(True, (classes[1:] != classes[:-1]) | (tokens[1:] != tokens[:-1]))
+    classes, tokens = classes[new], tokens[new]
+    names, first, counts = _runs(classes)
+    cuts = np.searchsorted(_range_of(names, parts), np.arange(parts + 1))
+    ends = np.append(first, len(classes))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        lo, hi = cuts[p], cuts[p + 1]
+        yield _row(p, 1, names[lo:hi].tobytes(), counts[lo:hi].astype(np.uint32).tobytes(), _planes(tokens[ends[lo] : ends[hi]], _WIDE))
 
 
-def _flush(ids, keys, sets, parts):
+def _flush(ids, keys, sets, parts, turn):
+    """Rows of one flush: its documents (dealt in turn, kind 2), its classes' sizes (3), and its pairs of shingle and
+    class, by range of shingle (0), or, where classes of the flush meet in a shingle, by class (1); of such a shingle
+    one entry without a class tells its range that others share it."""
     classes = np.array([class_of(s) for s in sets], np.uint64)
     sizes = np.array([len(s) for s in sets], np.int64)
     known = np.array([i is not None for i in ids], np.int64)
     own = np.array([i or 0 for i in ids], np.int64)
-    yield from _docs_by_class(own, known, np.array(keys, np.int64), classes, sizes, parts)
+    for lo in range(0, len(ids), 4096):
+        at = slice(lo, lo + 4096)
+        yield _row((turn + lo // 4096) % parts, 2, np.stack([own[at], known[at], np.array(keys[at], np.int64)]).tobytes(), classes[at].tobytes(), sizes[at].tobytes())
     uniq, first = np.unique(classes, return_index=True)
     first = first[uniq > 0]
     uniq = uniq[uniq > 0]
     if not len(uniq):
         return
+    to = _range_of(uniq, parts)
+    cuts = np.searchsorted(to, np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(cuts)).tolist():
+        yield _row(p, 3, uniq[cuts[p] : cuts[p + 1]].tobytes(), sizes[first[cuts[p] : cuts[p + 1]]].tobytes())
     tok = np.concatenate([sets[i] for i in first.tolist()])
-    idx = np.repeat(np.arange(len(first), dtype=np.uint64), sizes[first])
+    idx = np.repeat(np.arange(1, len(first) + 1, dtype=np.uint32), sizes[first])  # 0: no class
     order = np.argsort(tok)
     tok, idx = tok[order], idx[order]
+    del order
     same = tok[1:] == tok[:-1]
     met = np.append(same, False) | np.append(False, same)
     lead = met & ~np.append(False, same)
     shift = np.uint64(64 - (parts.bit_length() - 1))
     if met.any():
-        named = tok[met] & _LOW | (tok[met] >> shift) << _KEPT
-        yield from _by_class(uniq[idx[met].astype(np.int64)], named, parts, 1)
+        yield from _by_class(uniq[idx[met] - 1], tok[met] & _LOW | (tok[met] >> shift) << _KEPT, parts)
+    idx[lead] = 0
     keep = ~met | lead
-    tok, idx = tok[keep], np.where(lead[keep], _SHARED, idx[keep])
+    tok, idx = tok[keep], idx[keep]
     cuts = np.searchsorted((tok >> shift).astype(np.int64), np.arange(parts + 1))
+    uniq = np.append(np.zeros(1, np.uint64), uniq)
     for p in np.flatnonzero(np.diff(cuts)).tolist():
-        own, at = tok[cuts[p] : cuts[p + 1]] & _LOW, idx[cuts[p] : cuts[p + 1]]
-        order = np.argsort(own)
-        used, inverse = np.unique(at[order], return_inverse=True)  # only the classes this part needs
-        real = used != _SHARED
-        names = np.where(real, uniq[np.where(real, used, np.uint64(0)).astype(np.int64)], np.uint64(0))
-        yield _row(p, 0, _squeeze(own[order]), names.tobytes(), inverse.astype(np.uint16).tobytes())
+        at = idx[cuts[p] : cuts[p + 1]]
+        order = np.argsort(at, kind="stable")
+        used, _, counts = _runs(at[order])
+        yield _row(p, 0, uniq[used].tobytes(), counts.astype(np.uint32).tobytes(), _planes(tok[cuts[p] : cuts[p + 1]][order], 5))
 
 
 def _mapper(n: int, parts: int):
+    most = min(max(FLUSH[0], parts << 15), FLUSH[1])
+
     def run(batches):
-        ids, keys, sets, held = [], [], [], 0
+        ids, keys, sets, held, turn = [], [], [], 0, 0
         for batch in (x for whole in batches for x in c.pieces(whole, 1)):
             texts = c.as_bytes(batch.column(1))
             words = [t.lower().split() for t in texts]
             starts = np.cumsum([0] + [len(w) for w in words])
             hashed = c.hash_words([x for w in words for x in w])
             new = shingles(hashed, starts, n)
+            del words, hashed
             for i, k, s in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), new):
                 ids.append(i)
                 keys.append(k)
                 sets.append(s)
                 held += len(s)
-                if held >= FLUSH or len(ids) >= 60_000:
-                    yield _batch(list(_flush(ids, keys, sets, parts)))
+                if held >= most or len(ids) >= 60_000:
+                    turn = turn or int(keys[0]) % parts
+                    yield from (_batch([row]) for row in _flush(ids, keys, sets, parts, turn))
+                    turn += 1 + len(ids) // 4096
                     ids, keys, sets, held = [], [], [], 0
                     c.release()
         if ids:
-            yield _batch(list(_flush(ids, keys, sets, parts)))
+            yield from (_batch([row]) for row in _flush(ids, keys, sets, parts, turn or int(keys[0]) % parts))
 
     return run
 
 
 def _share(parts: int):
-    """Of one range of shingles: those of two classes or more, dealt by class; other rows pass."""
+    """Of one range of shingles: those of two classes or more, dealt by class; other rows pass.  The range is sorted in
+    pieces, so that only a piece is held unpacked."""
 
     def run(key, table):
-        out, toks, owners = [], [], []
+        part = key[0].as_py()
+        out, packed = [], []
         for kind, a, b, d in zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "d"))):
-            if kind:
-                out.append(_row(key[0].as_py(), kind, a, b, d))
-            else:
-                toks.append(_loosen(a))
-                owners.append(np.frombuffer(b, np.uint64)[np.frombuffer(d, np.uint16)])
-        if toks:
+            (out if kind else packed).append(_row(part, kind, a, b, d))
+        for piece in range(PIECES if packed else 0):
+            toks, owners = [], []
+            for _, _, a, b, d in packed:
+                tok = _numbers(d, 5)
+                own = (tok >> _KEPT - np.uint64(PIECES.bit_length() - 1)) == piece
+                toks.append(tok[own])
+                owners.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32))[own])
             tok, own = np.concatenate(toks), np.concatenate(owners)
+            if not len(tok):
+                continue
             order = np.argsort(tok)
             tok, own = tok[order], own[order]
             at = np.flatnonzero(np.append(True, tok[1:] != tok[:-1]))
             many = np.minimum.reduceat(own, at) != np.maximum.reduceat(own, at)
             shared = np.repeat(many, np.diff(np.append(at, len(tok)))) & (own > 0)
             if shared.any():
-                full = tok[shared] | np.uint64(key[0].as_py()) << _KEPT
-                out += _by_class(own[shared], full, parts, 1)
+                out += _by_class(own[shared], tok[shared] | np.uint64(part) << _KEPT, parts)
         c.release()
         return pa.Table.from_batches([_batch(out)])
 
@@ -199,38 +227,40 @@ def _share(parts: int):
 
 
 def _gather(need_of):
-    """Of one range of classes: its documents (kind 0), and classes with enough shared shingles (kind 1)."""
+    """Of one range of classes: the classes with enough shared shingles (kind 1); documents pass (kind 0)."""
 
     def run(key, table):
-        ids, keys, doc_class, doc_n, classes, tokens = [], [], [], [], [], []
+        ids, keys, doc_class, doc_n, classes, tokens, known, sizes = [], [], [], [], [], [], [], []
         for kind, a, b, d in zip(*(table.column(x).to_pylist() for x in ("kind", "a", "b", "d"))):
             if kind == 2:
-                own, known, key_of = np.frombuffer(a, np.int64).reshape(3, -1)
+                own, valid, key_of = np.frombuffer(a, np.int64).reshape(3, -1)
                 keys.append(key_of)
-                ids.append(pa.array(own, mask=known == 0))
+                ids.append(pa.array(own, mask=valid == 0))
                 doc_class.append(np.frombuffer(b, np.uint64))
                 doc_n.append(np.frombuffer(d, np.int64))
+            elif kind == 3:
+                known.append(np.frombuffer(a, np.uint64))
+                sizes.append(np.frombuffer(b, np.int64))
             else:
-                counts = np.frombuffer(b, np.uint32)
-                classes.append(np.repeat(np.frombuffer(a, np.uint64), counts))
-                tokens.append(np.frombuffer(d, np.uint64))
+                classes.append(np.repeat(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint32)))
+                tokens.append(_numbers(d, _WIDE))
         cls = np.concatenate(doc_class) if doc_class else np.empty(0, np.uint64)
         n = np.concatenate(doc_n) if doc_n else np.empty(0, np.int64)
         out_ids = pa.concat_arrays(ids) if ids else pa.array([], pa.int64())
         kept_c, kept_n, kept_t = [], [], []
         if classes:
             own, tok = np.concatenate(classes), np.concatenate(tokens)
+            del classes, tokens
             order = np.argsort(own, kind="stable")
             own, tok = own[order], tok[order]
-            at = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-            ends = np.append(at[1:], len(own))
-            u, first = np.unique(cls, return_index=True)
-            size = n[first[np.searchsorted(u, own[at])]]
-            for name, lo, hi, m in zip(own[at].tolist(), at.tolist(), ends.tolist(), size.tolist()):
-                if hi - lo >= need_of(m):
-                    t = np.unique(tok[lo:hi])
+            names, at, counts = _runs(own)
+            u, first = np.unique(np.concatenate(known), return_index=True)
+            size = np.concatenate(sizes)[first[np.searchsorted(u, names)]]
+            for name, lo, k, m in zip(names.tolist(), at.tolist(), counts.tolist(), size.tolist()):
+                if k >= need_of(m):
+                    t = np.unique(tok[lo : lo + k])
                     if len(t) >= need_of(m):
-                        kept_c.append(name), kept_n.append(m), kept_t.append(t.tobytes())
+                        kept_c.append(name), kept_n.append(m), kept_t.append(_planes(t, _WIDE))
         k = len(kept_c)
         signed = np.concatenate([cls, np.array(kept_c, np.uint64)]).view(np.int64)
         return pa.table({
@@ -254,7 +284,7 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
 def _bitmaps(batches):
     """(cls, n, c, b0, b1, ...) of each class."""
     for batch in batches:
-        tokens = [np.frombuffer(raw, np.uint64) for raw in batch.column(2).to_pylist()]
+        tokens = [_numbers(raw, _WIDE) for raw in batch.column(2).to_pylist()]
         bits = np.array([bitmap(t) for t in tokens], np.int64).reshape(-1, WORDS)
         size = pa.array([len(t) for t in tokens], pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, *(pa.array(np.ascontiguousarray(b)) for b in bits.T)], ["cls", "n", "c", *(f"b{i}" for i in range(WORDS))])
@@ -267,7 +297,7 @@ def _tiles(pct: int):
         for batch in batches:
             tok, size, band, cls, pos = [], [], [], [], []
             for name, n, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                t = np.frombuffer(raw, np.int64)
+                t = _numbers(raw, _WIDE).astype(np.int64)
                 prefix = t[: len(t) - -(-pct * n // 100) + 1]
                 top = n.bit_length()
                 for x in [top] + [top + 1] * (100 * n >= pct * (1 << top)):
@@ -284,7 +314,7 @@ def _verify(pct: int):
             a, b, na, nb, ta, tb = (batch.column(i).to_pylist() for i in range(6))
             ok = []
             for m, n, x, y in zip(na, nb, ta, tb):
-                both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                both = len(np.intersect1d(_numbers(x, _WIDE), _numbers(y, _WIDE), assume_unique=True))
                 ok.append(100 * both >= pct * (m + n - both))
             keep = [i for i, k in enumerate(ok) if k]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in keep], pa.int64()), pa.array([b[i] for i in keep], pa.int64())], ["a", "b"])
@@ -331,7 +361,7 @@ def _cell(pct: int, pairs: bool):
     def run(table):
         side = table.column("side").to_numpy()
         cls, n, w = (table.column(x).to_numpy() for x in ("cls", "n", "w"))
-        toks = [np.frombuffer(raw, np.uint64) for raw in table.column("toks").to_pylist()]
+        toks = [_numbers(raw, _WIDE) for raw in table.column("toks").to_pylist()]
         bits = np.array([bitmap(t) for t in toks], np.int64).reshape(-1, WORDS).view(np.uint64)
         part = lambda at: (n[at], [toks[i] for i in at.tolist()], bits[at])
         cut = lambda at: [at[i : i + BLOCK] for i in range(0, len(at), BLOCK)]
@@ -378,7 +408,18 @@ def _all_links(held: DataFrame, classes: DataFrame, pct: int, pairs: bool, block
     return found if pairs else found.groupBy(F.col("a").alias("cls")).agg(F.sum("b").alias("others"))
 
 
-def _links(pairs: DataFrame, held: DataFrame, pct: int) -> DataFrame:
+def _over(x: str, y: str):
+    """By their bitmaps, the most shingles that classes x and y can share: (c1 + c2 - hamming) / 2, and the smaller set."""
+    hamming = sum((F.bit_count(F.col(f"{x}.b{i}").bitwiseXOR(F.col(f"{y}.b{i}"))) for i in range(WORDS)), F.lit(0))
+    return F.least((F.col(f"{x}.c") + F.col(f"{y}.c") - hamming) / 2, F.col(f"{x}.c"), F.col(f"{y}.c"))
+
+
+def _links(pairs: DataFrame, held: DataFrame, pct: int, sketch: DataFrame | None = None) -> DataFrame:
+    """Of pairs (a, b), those that link: bounded by bitmaps if there are any, then intersected exactly."""
+    if sketch is not None:
+        x, y = sketch.alias("x"), sketch.alias("y")
+        fits = _over("x", "y") * (100 + pct) >= (F.col("x.n") + F.col("y.n")) * pct
+        pairs = pairs.join(x, F.col("a") == F.col("x.cls")).join(y, F.col("b") == F.col("y.cls")).where(fits).select("a", "b")
     left = held.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("toks").alias("ta"))
     right = held.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("toks").alias("tb"))
     full = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "ta", "tb")
@@ -428,7 +469,7 @@ def text_key(text_col: str = "text"):
 
 def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (id, key, cls, n), the classes that may have partners (cls, n, toks), and (cls, comp) of those that have some."""
-    parts = c.partitions_for(c.bounded_batches(docs), 16 << 20)
+    parts = c.partitions_for(c.bounded_batches(docs), RANGE, docs.sparkSession.sparkContext.defaultParallelism, 1 << 16)
     need = lambda m, pct=pct: max(1, -(-pct * m // 100))
     flat = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), text_key(text_col).alias("key"))
     packed = flat.mapInArrow(c.tidy(_mapper(n, parts)), PACKED)
@@ -439,37 +480,38 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, n: int, pct: int) -> t
     held = gathered.where("kind = 1").select("cls", "n", "toks")
     tiles = held.mapInArrow(c.tidy(_tiles(pct)), "tok long, band long, cls long, pos long")
 
+    sketch = c.materialize(held.mapInArrow(c.tidy(_bitmaps), "cls long, n long, c long, " + ", ".join(f"b{i} long" for i in range(WORDS))), "sketch")
+
     # the star: each class meets one pivot, the one it shares most tiles with
     meet = tiles.groupBy("tok", "band").agg(F.min("cls").alias("pivot"), F.max("cls").alias("last"), F.count("*").alias("m")).where("pivot <> last")
     meet = c.materialize(meet.select("tok", "band", "pivot"), "meet")  # so that AQE can split the join's hot tiles
     star = tiles.join(meet, ["tok", "band"]).where("cls <> pivot")
-    links = c.materialize(_links(_nearest(star), held, pct), "links")
+    links = c.materialize(_links(_nearest(star), held, pct, sketch), "links")
     label = _merge(held.select("cls", F.col("cls").alias("comp"), F.lit(1).cast("long").alias("weight")), links)
     apart, rest, all_rows = _mixed(tiles, label)
 
     # more stars while many pairs of different components are left and stars still make them much fewer
-    turn, before = 0, 2 * rest
+    turn, before, open_ = 0, 2 * rest, held
     while rest > 2 * all_rows and 4 * rest < 3 * before:
         turn, before = turn + 1, rest
+        open_ = c.materialize(open_.join(apart.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "toks"), "open")
         big = apart.where("comp = big").groupBy("tok", "band").agg(F.min_by("cls", F.xxhash64("cls", F.lit(turn))).alias("pivot"))
         big = c.materialize(big, "pivots")
         star = apart.where("comp <> big").select("tok", "band", "cls").join(big, ["tok", "band"])
-        new = c.materialize(_links(_nearest(star), held, pct), "links")
+        new = c.materialize(_links(_nearest(star), open_, pct, sketch), "links")
         links, label = links.union(new), _merge(label, new)
         apart, rest, all_rows = _mixed(apart.select("tok", "band", "cls", "pos"), label)
 
     # what is left: pairs of different components in a tile, of which one is not the tile's largest
-    sketch = held.join(apart.select("cls").distinct(), "cls", "left_semi").select("cls", "n", "toks").mapInArrow(c.tidy(_bitmaps), "cls long, n long, c long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
     apart = apart.join(sketch, "cls")
     l, r = apart.where("comp <> big").alias("l"), apart.alias("r")
-    hamming = sum((F.bit_count(F.col(f"l.b{i}").bitwiseXOR(F.col(f"r.b{i}"))) for i in range(WORDS)), F.lit(0))
     # neither is below the overlap; the second holds in the pair's first common tile, where the pair must come up
-    bound = F.least((F.col("l.c") + F.col("r.c") - hamming) / 2, F.col("l.c") - F.col("l.pos"), F.col("r.c") - F.col("r.pos"))
+    bound = F.least(_over("l", "r"), F.col("l.c") - F.col("l.pos"), F.col("r.c") - F.col("r.pos"))
     ordered = (F.col("r.comp") == F.col("r.big")) | (F.col("l.cls") < F.col("r.cls"))
     fits = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * pct
     more = l.join(r, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.band") == F.col("r.band")) & (F.col("l.comp") != F.col("r.comp")) & ordered & fits & (bound * (100 + pct) >= (F.col("l.n") + F.col("r.n")) * pct))
     more = more.select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
-    links = c.materialize(links.union(_links(more, held, pct)), "links")
+    links = c.materialize(links.union(_links(more, open_, pct)), "links")
     return rows, held, c.components(links).withColumnsRenamed({"node": "cls", "component": "comp"})
 
 
