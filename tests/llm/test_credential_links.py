@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from tidemark.llm import credential_links as k
 
@@ -32,6 +33,9 @@ TEXTS = [
     (9, f"{AWS} " + "x " * 60 + "0123456789abcdef01"),
     (10, ("word " * 3000 + "secret = sesame99 ") * 3),
     (11, "passwd=abcdef"), (11, "passwd=abcdef"),
+    (12, "client_id=ABCdef0123456789abcdEFgh"), (13, "login: AbCdEfGhIjKl0123456789xyz"),
+    (14, "client_id=ABCdef0123456789abcdEFgh at https://db.example.com/x"),
+    (15, "client_id=ABCdef0123456789abcdEFgh with QmFzZTY0U3RyaW5nMTIzNDU2 at https://db.example.com/x"),
 ]
 
 
@@ -53,5 +57,23 @@ def test_weak_parts_need_their_complements(spark):
     assert got["11"] == ["assign"]
 
 
+def test_overlapping_parts_do_not_confirm_each_other(spark):
+    got = {d: [s.split(":")[0] for s in r.spans.split(",") if s] for d, r in run(spark, TEXTS).items()}
+    assert got["12"] == got["13"] == got["14"] == []
+    assert got["15"] == ["weak_id", "weak_token", "weak_endpoint"]  # the identifier's value is no secret of its own
+
+
+def test_a_very_long_dense_text_takes_linear_time(spark):
+    took = []
+    for size in (20_000, 200_000):
+        text = " ".join(f"{i:024x}" for i in range(size))
+        began = time.perf_counter()
+        r = run(spark, [(1, text)])["1"]
+        took.append(time.perf_counter() - began)
+        want = [("hex", 25 * i, 25 * i + 24) for i in range(size)]
+        assert r.n_hex == size and r.base_sha256 == hashlib.sha256(",".join(f"{a}:{b}:{c}" for a, b, c in want).encode()).hexdigest()
+    assert took[1] < 15 * took[0] + 10, took
+
+
 def test_empty_table_and_plan_without_python(spark):
     assert run(spark, []) == {}

@@ -2,14 +2,16 @@
 
 Strong findings (assignments, access identifiers, long hex strings) stand alone.  Weak candidates - a login name, a
 mixed-case token, a short hex string, an endpoint - are common in clean text, so they count only where complementary
-parts co-occur: an identifier needs a secret in its scope, a secret an identifier, an endpoint both.  A scope is the
-part of one text whose starts lie within `scope` code points.
+parts co-occur: an identifier needs a secret in its scope, a secret an identifier, an endpoint both.  Parts that
+overlap are one thing seen twice and never confirm each other; an endpoint's two parts must not overlap either.  A
+scope is the part of one text whose starts lie within `scope` code points.
 
-The interval join runs on (row, bucket of `scope` code points): complementary parts are first aggregated to the least
-and greatest start of each role and bucket, so that a candidate meets at most three rows however dense a text is.
+The interval join runs on (row, bucket of `scope` code points).  Matches of a kind do not overlap and have a least
+length, so a bucket holds a few dozen parts at most, whatever the text; they travel as one array for each role, and a
+candidate meets at most three buckets.
 
 Edge cases: null is an empty text and has no spans; offsets are code points, end exclusive; repeated rows get the same
-spans; a null doc_id is kept; extra columns are ignored, whatever their names; an empty table gives an empty one.
+spans; a null doc_id is kept; very long texts take time in proportion to their matches; extra columns are ignored, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -43,20 +45,34 @@ ORDER = {k: i for i, k in enumerate([*(b[0] for b in BASE), *(w[0] for w in WEAK
 SPAN = "array<struct<start: int, rank: int, end: int>>"
 
 
+BLOCK = 64
+
+
 def found(text: Column, kind: str, pattern: str, test: Callable[[Column], Column]) -> Column:
-    """Spans of the leftmost non-overlapping matches that pass a test: what split() leaves between matches gives their places."""
+    """Spans of the leftmost non-overlapping matches that pass a test: what split() leaves between matches gives their places.
+
+    Appending to an array copies it, so matches are taken in blocks: first each block's place, then the spans within it."""
     pieces, matches = F.split(text, F.lit(pattern), F.lit(-1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     both = F.arrays_zip(F.slice(pieces, 1, F.size(matches)).alias("gap"), matches.alias("hit"))
+    long = lambda x: F.char_length(x["gap"]) + F.char_length(x["hit"])
+    none = F.expr(f"cast(array() as {SPAN})")
 
     def step(acc, x):
-        start = acc["at"] + F.char_length(x["gap"])
-        end = start + F.char_length(x["hit"])
-        own = F.array(F.struct(start.alias("start"), F.lit(ORDER[kind]).alias("rank"), end.alias("end")))
+        end = acc["at"] + long(x)
+        own = F.array(F.struct((end - F.char_length(x["hit"])).alias("start"), F.lit(ORDER[kind]).alias("rank"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(test(x["hit"]), F.concat(acc["spans"], own)).otherwise(acc["spans"]).alias("spans"))
 
-    none = F.expr(f"cast(array() as {SPAN})")
-    spans = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
-    return F.when(F.rlike(text, F.lit(pattern)), spans).otherwise(none)
+    def spans(all_):
+        block = lambda i: F.slice(all_, i * BLOCK + 1, F.lit(BLOCK))
+        within = lambda i, at: F.aggregate(block(i), F.struct(at.alias("at"), none.alias("spans")), step, lambda acc: acc["spans"])
+        index = F.sequence(F.lit(0), F.ceil(F.size(all_) / BLOCK).cast("int") - 1)
+        total = lambda i: F.aggregate(block(i), F.lit(0), lambda n, x: n + long(x))
+        onward = lambda acc, i: F.struct((acc["at"] + total(i)).alias("at"), F.concat(acc["all"], F.array(acc["at"])).alias("all"))
+        places = F.aggregate(index, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<int>)").alias("all")), onward, lambda acc: acc["all"])
+        return F.when(F.size(all_) <= BLOCK, within(F.lit(0), F.lit(0))).otherwise(F.flatten(F.zip_with(index, places, within)))
+
+    once = F.transform(F.array(both), spans)[0]  # a lambda's variable is evaluated once, however often it is used
+    return F.when(F.rlike(text, F.lit(pattern)), once).otherwise(none)
 
 
 def _long(pattern: str, group: int, least: int) -> Callable[[Column], Column]:
@@ -87,22 +103,26 @@ def parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return flat.select("id", F.xxhash64("id", "text").alias("k1"), F.xxhash64("text", F.lit(7), "id").alias("k2"), base.alias("base"), weak.alias("weak"))
 
 
+def _apart(a: Column, b: Column) -> Column:
+    return (a["end"] <= b["start"]) | (a["start"] >= b["end"])
+
+
 def linked_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
     """One row per input row: id, base spans, and weak spans that their scope confirms, as arrays of (start, rank, end)."""
     rows = c.materialize(parts(docs, id_col, text_col), "parts")
-    some = rows.where(F.size("weak") > 0)
+    some = rows.where(F.size("weak") > 0).dropDuplicates(["k1", "k2"])
     role = F.element_at(F.array(*(F.lit(ROLE[k]) for k in ORDER)), F.col("s.rank") + 1)
-    flat = some.select("k1", "k2", F.explode(F.concat("base", "weak")).alias("s")).distinct()
+    flat = some.select("k1", "k2", F.explode(F.concat("base", "weak")).alias("s"))
     flat = flat.select("k1", "k2", "s", role.alias("role"), F.floor(F.col("s.start") / scope).alias("bucket"))
-    near = flat.groupBy("k1", "k2", "role", "bucket").agg(F.min("s.start").alias("lo"), F.max("s.start").alias("hi"))
-    near = near.where("role <> 'E'").select("k1", "k2", F.col("role").alias("other"), "lo", "hi", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)).alias("bucket"))
+    near = flat.where("role <> 'E'").groupBy("k1", "k2", F.col("role").alias("other"), "bucket").agg(F.collect_list("s").alias("parts"))
+    near = near.withColumn("bucket", F.explode(F.sequence(F.col("bucket") - 1, F.col("bucket") + 1)))
     weak = flat.where(F.col("s.rank") >= len(BASE))
-    at = F.col("s.start")
-    close = (F.abs(F.col("lo") - at) <= scope) | (F.abs(F.col("hi") - at) <= scope)
-    met = weak.join(near, ["k1", "k2", "bucket"]).where(close).groupBy("k1", "k2", "s", "role").agg(F.collect_set("other").alias("with"))
-    has_i, has_s = F.array_contains("with", "I"), F.array_contains("with", "S")
-    kept = met.where(((F.col("role") == "I") & has_s) | ((F.col("role") == "S") & has_i) | ((F.col("role") == "E") & has_i & has_s))
-    kept = kept.groupBy("k1", "k2").agg(F.array_sort(F.collect_list("s")).alias("linked"))
+    in_scope = F.filter("parts", lambda x: (F.abs(x["start"] - F.col("s.start")) <= scope) & _apart(x, F.col("s")))
+    met = weak.join(near, ["k1", "k2", "bucket"]).where("role <> other").withColumn("parts", in_scope).where(F.size("parts") > 0)
+    of = lambda r: F.flatten(F.collect_list(F.when(F.col("other") == r, F.col("parts"))))
+    met = met.groupBy("k1", "k2", "s", "role").agg(of("I").alias("ids"), of("S").alias("secrets"))
+    pair = F.exists("ids", lambda x: F.exists("secrets", lambda y: _apart(x, y)))
+    kept = met.where((F.col("role") != "E") | pair).groupBy("k1", "k2").agg(F.array_sort(F.collect_list("s")).alias("linked"))
     out = rows.drop("weak").join(kept, ["k1", "k2"], "left")
     return out.select(F.col("id").alias(id_col), "base", F.coalesce("linked", F.expr(f"cast(array() as {SPAN})")).alias("linked"))
 

@@ -94,12 +94,14 @@ def _secrets_sql() -> str:
     parts = " UNION ALL ".join(f"SELECT r, '{n}' AS kind, '{role}' AS role, {i} AS rank, string_split_regex(t, {quoted(p)}) AS gaps, regexp_extract_all(t, {quoted(p)}) AS hits FROM d" for i, (n, role, p) in enumerate(kinds))
     count = ", ".join(f"count(*) FILTER (WHERE kind = '{n}') AS n_{n}" for n, *_ in k.BASE)
     text = "string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, rank)"
-    near = lambda role: f"EXISTS (SELECT 1 FROM s o WHERE o.r = s.r AND o.role = '{role}' AND abs(o.a - s.a) <= 200)"
+    near = lambda x: f"{x}.r = s.r AND abs({x}.a - s.a) <= 200 AND ({x}.b <= s.a OR {x}.a >= s.b)"
+    one = lambda role: f"EXISTS (SELECT 1 FROM s o WHERE {near('o')} AND o.role = '{role}')"
+    two = f"EXISTS (SELECT 1 FROM s o JOIN s p ON o.r = p.r AND (o.b <= p.a OR o.a >= p.b) WHERE {near('o')} AND {near('p')} AND o.role = 'I' AND p.role = 'S')"
     return f"""
 WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents), p AS ({parts}),
 i AS (SELECT r, kind, role, rank, gaps, hits, unnest(range(1, len(hits) + 1)) AS i FROM p WHERE len(hits) > 0),
 s AS MATERIALIZED (SELECT r, kind, role, rank, hit, a, a + length(hit) AS b FROM (SELECT r, kind, role, rank, hits[i] AS hit, CAST(list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM i) WHERE {tests}),
-f AS (SELECT * FROM s WHERE rank < 3 OR (role = 'I' AND {near('S')}) OR (role = 'S' AND {near('I')}) OR (role = 'E' AND {near('I')} AND {near('S')})),
+f AS (SELECT * FROM s WHERE rank < 3 OR (role = 'I' AND {one('S')}) OR (role = 'S' AND {one('I')}) OR (role = 'E' AND {two})),
 g AS (SELECT r, {count}, {text} FILTER (WHERE rank < 3) AS base, {text} AS spans FROM f GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
 
