@@ -1,6 +1,8 @@
 import math
 import random
 
+import numpy as np
+
 from tidemark.llm import kdtree_topk as t
 
 
@@ -34,3 +36,29 @@ def test_edges(spark):
     rows = [(0, None), (50, []), (100, [1.0, None]), (150, [float("nan"), 1.0]), (200, [float("inf"), 1.0]), (250, [1.0, 1.0]), (3, [2.0, -1.0]), (4, [1e300, 1.0]), (300, [1e200, -1e300])]
     assert run(spark, rows) == brute(rows)
     assert run(spark, []) == [] and run(spark, [(50, [1.0])]) == []
+
+
+def test_search_is_best_first_and_prunes():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(0, 400, (30, 6))
+    points = np.floor(np.concatenate([c + rng.normal(0, 8, (300, 6)) for c in centres]))
+    ids = rng.permutation(len(points)).astype(np.int64)
+    tree = t.Tree.build(points, ids, ids)
+    again = t.Tree.load(6, *tree.packed().values())
+    assert (again.points == tree.points).all() and (again.low == tree.low).all() and (again.nodes == tree.nodes).all()
+    for first, end, left, right in tree.nodes.tolist():  # boxes are tight at every node, children share out their parent
+        node = tree.nodes.tolist().index([first, end, left, right])
+        assert (tree.low[node] == tree.points[first:end].min(0)).all() and (tree.high[node] == tree.points[first:end].max(0)).all()
+        if left >= 0:
+            assert (tree.nodes[left][0], tree.nodes[right][1], tree.nodes[left][1]) == (first, end, tree.nodes[right][0])
+    queries = np.floor(centres[:10])
+    none = np.empty(0, np.int64)
+    best = [(none, none, none)] * 10
+    leaves = int((tree.nodes[:, 2] < 0).sum())
+    opened = t.search(again, queries, np.full(10, -1), best, np.full(10, -np.inf), 5)
+    for q, (scores, hits, _) in zip(queries, best):
+        every = sorted(((-int(p @ q), int(i)) for p, i in zip(tree.points, tree.ids)))[:5]
+        assert [(-int(s), int(i)) for s, i in zip(scores, hits)] == every
+    assert opened < 0.2 * leaves * 10, (opened, leaves)
+    floors = np.array([b[0][-1] for b in best], float)
+    assert t.search(again, queries, np.full(10, -1), [(none, none, none)] * 10, floors, 5) <= opened  # a known k-th score helps
