@@ -56,3 +56,18 @@ def test_filter_has_no_false_negatives_and_few_false_positives(spark):
     out = u.passing(probe, u.bloom(listed, 128), 128).where("maybe").select("id").collect()
     ids = {r.id for r in out}
     assert set(range(2000)) <= ids and len(ids) < 2000 + 6000 * 0.02
+
+
+def test_filter_is_broadcast_up_to_its_limit_and_joined_beyond(spark):
+    rows = [(i, x) for i, x in enumerate(URLS)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        probe, plans = spark.range(100).select(F.concat(F.lit("u"), "id").alias("canonical")), []
+        for filter_ in (F.broadcast(u.bloom(probe, 64)), u.bloom(probe, 64)):
+            plans.append(u.passing(probe, filter_, 64)._jdf.queryExecution().executedPlan().toString())
+        assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1] and "SortMergeJoin" in plans[1]
+        assert sorted(u.judge(df).collect(), key=str) == sorted(u.judge(df, broadcast_bytes=0).collect(), key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)

@@ -3,9 +3,10 @@
 A rule is (verdict, host, path): it fits its host and all subdomains where the URL's path starts with the rule's; the
 longest wins.  A URL without a rule is blocked if its canonical form is listed.  The list becomes a Bloom filter of
 blocks of four 64-bit words: one hash picks the block, others two bits in each word, so that a probe touches one row
-of the filter.  The filter is a table (block, w0..w3); it is joined, not collected, and Catalyst broadcasts it only
-below its measured threshold.  What the filter lets pass meets the list in an exact join, which removes its false
-positives; the rest, nearly all rows, never reaches that join.
+of the filter.  The filter is a table (block, w0..w3) of a size that the list's count fixes.  Up to `broadcast_bytes` it
+is broadcast, so that URLs are probed where they stand and only what passes is shuffled; the default holds the filter
+of 25 million listed URLs.  A larger filter is joined by block.  What the filter lets pass meets the list in an exact
+join, which removes its false positives; the rest, nearly all rows, never reaches that join.
 
 Edge cases: a null URL or one without "://" has an empty host and path, fits no rule and is not listed; repeated rows
 are judged alike; duplicates and nulls in the list do not matter; a null page_id is kept; an empty list blocks
@@ -23,6 +24,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The rules of the registered query.
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 WORDS = 4
+ROW_BYTES = 8 * (WORDS + 1)  # of a filter's block
 
 
 def split_url(url: Column) -> tuple[Column, Column, Column]:
@@ -76,7 +78,7 @@ def passing(rows: DataFrame, filter_: DataFrame, blocks: int) -> DataFrame:
     return placed.join(filter_, "block", "left").select(*rows.columns, hit.alias("maybe"))
 
 
-def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", bits_per_key: int = 16) -> DataFrame:
+def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col: str = "page_id", url_col: str = "url", bits_per_key: int = 16, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per input row: id, host, path, rule, verdict, canonical.
 
     `listed` has a column `canonical`; by default it holds the canonical URLs of all pages that a rule blocks, so that
@@ -89,7 +91,8 @@ def judge(pages: DataFrame, listed: DataFrame | None = None, rules=RULES, id_col
         listed = rows.where("verdict = 'block'").select("canonical")
     listed = c.materialize(listed.where("canonical <> ''").select("canonical").distinct(), "listed")
     blocks = 1 << max(0, (max(1, listed.count() * bits_per_key // (64 * WORDS)) - 1).bit_length())
-    open_ = passing(rows.where("rule is null"), bloom(listed, blocks), blocks)
+    filter_ = bloom(listed, blocks)
+    open_ = passing(rows.where("rule is null"), F.broadcast(filter_) if blocks * ROW_BYTES <= broadcast_bytes else filter_, blocks)
     open_ = c.materialize(open_, "open")
     exact = open_.where("maybe").join(listed.withColumn("found", F.lit(True)), "canonical", "left")
     exact = exact.withColumn("verdict", F.when(F.col("found"), "block").otherwise("allow"))
