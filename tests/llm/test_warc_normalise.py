@@ -20,7 +20,7 @@ def brute(rows):
     return sorted(out, key=str)
 
 
-ROWS = [(1, "http://a/ü b\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\n\r\n"), (6, "%zz", "x" * 3_000_000), (7, "u", "<p>é</p>"), (7, "u", "<p>é</p>"), (None, "u", "<p>é</p>"), (None, "u", "only"), (9, "u", "tail")]
+ROWS = [(1, "http://a/ü b\r\nX: y", "<p>é</p>"), (2, None, "<p>é</p>"), (3, "u", None), (4, "u", ""), (5, "u", "\r\n\r\nWARC/1.1\r\n\r\n"), (6, "%zz", "x" * 3_000_000), (7, "u", "<p>é</p>"), (7, "u", "<p>é</p>"), (None, "u", "<p>é</p>"), (None, "u", "only"), (9, "u", "tail"), (10, "http://x/a%20b?c=%25", "q")]
 
 
 def df(spark, rows):
@@ -53,7 +53,24 @@ def test_files_are_streams_then_members_with_sidecars(spark, tmp_path):
     side = [tuple(map(int, x.split())) for x in (tmp_path / "split" / f"{path}.idx").read_text().splitlines()]
     assert side == [(r.offset, r.length) for r in index] and sum(n for _, n in side) == len(members)
     urls = {r.page_id: r.url for r in w.read(spark.createDataFrame(index), split).collect() if r.page_id}
-    assert urls[1] == ROWS[0][1] and urls[2] is None
+    assert urls[1] == ROWS[0][1] and urls[2] is None and urls[6] == "%zz" and urls[10] == "http://x/a%20b?c=%25"
+
+
+def test_a_stream_that_compresses_well_is_inflated_in_steps():
+    one = w.record(1, "u", b"0" * 300_000, "d", None, "2000-01-01T00:00:00Z")
+    seen = []
+
+    class Watch(bytearray):
+        def __iadd__(self, more):
+            seen.append(len(more))
+            return super().__iadd__(more)
+
+    w.bytearray = Watch
+    try:
+        got = list(w.records(io.BytesIO(gzip.compress(one * 100))))
+    finally:
+        del w.bytearray
+    assert got == [one] * 100 and max(seen) <= w.PIECE
 
 
 def test_damage_is_noticed():

@@ -9,10 +9,12 @@ and carry no payload.  Only payloads that occur more than once matter for this;
 `broadcast_rows` of them, beyond that the join is left to Catalyst.
 
 Tasks write files of fresh names and report them; only reported files count, so retried or speculative tasks leave
-at most unused files, which are removed.  Files go through pyarrow's filesystem of the folder's URI.
+at most unused files, which go with the folder.  Files go through pyarrow's filesystem of the folder's URI.  A stream is
+inflated in steps of `PIECE` bytes on both sides, so only a record is held whole, however well the stream compresses.
 
 Edge cases: null html is an empty payload; equal ids with equal payloads are all responses when they are the largest;
-null ids are kept, below all others; urls may be null or hold any characters (escaped in the header); other columns
+null ids are kept, below all others, ids are whole numbers; urls may be null or hold any characters (escaped in the
+header, "%" too, and read back as they were); other columns
 are ignored; an empty table gives no archives and an empty result.
 """
 
@@ -53,7 +55,7 @@ def record(page_id, url, payload: bytes, known: str, keep, date: str) -> bytes:
     block = http if revisit else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {name(page_id)}", f"WARC-Date: {date}"]
     if url is not None:
-        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%-._~')}")
+        head.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=-._~')}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {name(keep)}"]
     head += [f"WARC-Payload-Digest: sha1:{known}", "Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
@@ -104,10 +106,11 @@ def _write(folder: str, date: str, most: int):
 
 def records(stream) -> "iter":
     """The records of one gzip stream, inflated piece by piece."""
-    inflate, held, need = zlib.decompressobj(wbits=31), bytearray(), None
+    inflate, held, need, raw = zlib.decompressobj(wbits=31), bytearray(), None, b""
     while True:
-        raw = stream.read(PIECE)
-        held += inflate.decompress(raw) if raw else inflate.flush()
+        raw = raw or stream.read(PIECE)
+        held += inflate.decompress(raw, PIECE) if raw else inflate.flush()
+        last, raw = not raw, inflate.unconsumed_tail
         while True:
             if need is None:
                 end = held.find(b"\r\n\r\n")
@@ -120,7 +123,7 @@ def records(stream) -> "iter":
             yield bytes(held[:need])
             del held[:need]
             need = None
-        if not raw:
+        if last:
             if held:
                 raise ValueError("the archive ends within a record")
             return
@@ -174,19 +177,6 @@ def _read(folder: str, payloads: bool):
     return run
 
 
-def _tidy(uri: str, keep: set[str] | None) -> None:
-    """Remove the folder, or what no task reported in it."""
-    from pyarrow import fs as pfs
-
-    fs, root = open_fs(uri)
-    if keep is None:
-        fs.delete_dir(root)
-        return
-    for info in fs.get_file_info(pfs.FileSelector(root)):
-        if info.base_name.removesuffix(".idx") not in keep:
-            fs.delete_file(info.path)
-
-
 def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = "2000-01-01T00:00:00Z", file_bytes: int = 64 << 20, broadcast_rows: int = 200_000) -> DataFrame:
     """Write archives of one gzip stream each; returns (path) of those that count."""
     flat = c.bounded_batches(pages).select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), c.text_of(html_col).alias("html"))
@@ -205,7 +195,7 @@ def normalise(archives: DataFrame, source: str, target: str) -> DataFrame:
     """Rewrite archives with one member a record; returns the index (path, offset, length), one row a record."""
     fs, root = open_fs(target)
     fs.create_dir(root, recursive=True)
-    each = archives.repartition(max(1, archives.count()), "path")
+    each = archives.repartitionByRange(max(1, archives.count()), "path")  # names are random: about one archive a task
     return c.materialize(each.mapInArrow(c.tidy(_normalise(source, target)), INDEX), "index")
 
 
@@ -221,6 +211,6 @@ def round_trip(pages: DataFrame, folder: str | None = None, **more) -> DataFrame
     whole, split = f"{folder}/whole", f"{folder}/members"
     archives = write(pages, whole, **more)
     index = normalise(archives, whole, split)
-    _tidy(whole, None)
-    _tidy(split, {r.path for r in index.select("path").distinct().toLocalIterator()})
+    fs, root = open_fs(whole)
+    fs.delete_dir(root)
     return read(index, split, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
