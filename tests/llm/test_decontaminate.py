@@ -93,3 +93,12 @@ def test_index_parts():
     assert w.access(np.arange(300)).tolist() == s.tolist()
     for x in range(5):
         assert w.rank(np.full(301, x), np.arange(301)).tolist() == [int((s[:i] == x).sum()) for i in range(301)]
+
+
+def test_long_items_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(d, "PART", 12)
+    docs, items = cases()
+    items += [(60, items[0][1] + " " + items[1][1] + " " + items[2][1]), (60, items[3][1] * 3)]
+    docs = docs[:20] + [(95, items[-1][1]), (96, items[-2][1][30:200])]
+    assert run(spark, docs, items) == brute(docs, items)
+    assert run(spark, docs, items, window=3, slice_bytes=400) == brute(docs, items, 3)

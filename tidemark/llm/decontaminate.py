@@ -6,12 +6,14 @@ bit ranks, and suffix positions sampled at every eighth place and at each run's
 backwards together; occurrences are located by walking to a sampled row, and overlapping spans are merged.
 
 Phrases are the windows of `window` item words (an item of fewer words is one).  They are held by each task in slices
-of at most `slice_bytes` of benchmark text; a larger benchmark takes several passes whose spans are merged, so what is
-sent to tasks is bounded whatever the benchmark's size.
+of about `slice_bytes` of benchmark text; a larger benchmark takes several passes whose spans are merged, so what is
+sent to tasks is bounded whatever the benchmark's size.  Items of more than `PART` words are cut into parts that overlap
+by a window less a word, and parts are dealt to slices by their texts, so no item, long or repeated, fills a slice.
+Time grows with the number of slices: documents are indexed once for each.
 
 Edge cases: null or wordless texts have no words and no hits; items without words have no phrases; repeated item
 texts each count; repeated rows are judged alike, each on its own; items whose id is null are phrases like all others and
-count as one item together, but have no name in the digest; a null doc_id is kept; other columns pass through `flag`, whatever their names.
+count as one item together, but have no name in the digest; ids are whole numbers; a null doc_id is kept; other columns pass through `flag`, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from . import _common as c
 
 SHARD = 1 << 20
 SAMPLE = 8
+PART = 1 << 15  # words of an item that one row holds
 #: A-Z to a-z; bytes that are not of words to a space.  UTF-8 bytes from 0x80 are of words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
@@ -252,10 +255,19 @@ def _scan(phrases: Phrases, schema: pa.Schema):
     return run
 
 
-def _slice(bench: DataFrame, slices: int, k: int) -> list[tuple[int | None, bytes]]:
-    """Slice k of the items (item, text): all of one item, those without an id by their texts."""
-    at = F.pmod(F.xxhash64("item", F.when(F.col("item").isNull(), F.col("text"))), F.lit(slices))
-    return [(i, t.encode()) for i, t in bench.where(at == k).orderBy("item", "text").collect()]
+def _slices(benchmark: DataFrame, item_col: str, text_col: str, window: int, slice_bytes: int):
+    """The benchmark's items in slices, each a list of (item, text); at least one."""
+    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), c.text_of(text_col).alias("text"))
+    # only long texts are cut; two bytes are the least of a word and its gap
+    words = F.regexp_extract_all(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    long = bench.where(F.octet_length("text") > 2 * PART).select("item", words.alias("w"))
+    long = long.select("item", "w", F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0)), F.lit(PART))).alias("at"))
+    long = long.select("item", F.array_join(F.slice("w", F.col("at") + 1, F.lit(PART + window - 1)), " ").alias("text"))
+    bench = c.materialize(bench.where(F.octet_length("text") <= 2 * PART).union(long).distinct(), "phrases")
+    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    slices = max(1, -(-total // slice_bytes))
+    at = F.pmod(F.xxhash64("item", "text"), F.lit(slices))
+    return slices, ([(i, t.encode()) for i, t in bench.where(at == k).orderBy("item", "text").collect()] for k in range(slices))
 
 
 OUT = "id long, n_words long, spans array<struct<start: long, end: long>>, items array<long>"
@@ -263,9 +275,7 @@ OUT = "id long, n_words long, spans array<struct<start: long, end: long>>, items
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slice_bytes: int = 8 << 20) -> DataFrame:
     """One row per input row: id, n_words, spans (merged, in words, end exclusive) and the items that occur in it."""
-    bench = benchmark.select(F.col(item_col).cast("long").alias("item"), c.text_of(item_text_col).alias("text"))
-    total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-total // slice_bytes))
+    slices, parts = _slices(benchmark, item_col, item_text_col, window, slice_bytes)
     schema = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.int64()))])
     flat = c.bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     if slices > 1:  # rows need a name by which the passes' results meet
@@ -273,8 +283,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         names = flat.select("row", "id")
         flat = flat.select(F.col("row").alias("id"), "text")
     found = None
-    for k in range(slices):
-        part = _slice(bench, slices, k)
+    for part in parts:
         one = flat.mapInArrow(c.tidy(_scan(Phrases(part, window), schema)), OUT)
         found = one if found is None else found.union(one)
     if slices > 1:
@@ -297,13 +306,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The rows of `docs` without any occurrence, all columns as they were.
 
     Judges rows where they stand: a whole benchmark of one slice takes no shuffle."""
-    total = benchmark.agg(F.sum(F.octet_length(c.text_of("text")))).first()[0] or 0
-    slices = max(1, -(-total // slice_bytes))
+    _, parts = _slices(benchmark, "item_id", "text", window, slice_bytes)
     columns = c.bounded_batches(docs).columns
     spot = columns.index(text_col)
-    for k in range(slices):
-        bench = benchmark.select(F.col("item_id").cast("long").alias("item"), c.text_of("text").alias("text"))
-        part = _slice(bench, slices, k)
+    for part in parts:
         docs = docs.mapInArrow(c.tidy(_clean(Phrases(part, window), spot)), docs.schema)
     return docs
 
