@@ -98,5 +98,13 @@ def test_every_arrival_enters_a_daily_status(spark):
     from tidemark import queries
 
     d = "/root/testdata/sf0.001"
-    got = {(r.user_id, r.data_ts) for r in queries.QUERIES["guard_status_daily"](spark, d).collect()}
+    got = {(r.user_id, r.data_ts) for r in queries.QUERIES["guard_status"](spark, d).collect()}
     assert got == {(r.user_id, r.data_ts) for r in queries.arrivals(spark, d).collect()}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fold_in_stretches_equals_the_plain_fold(spark, seed):
+    rows = arrivals(seed, 400)
+    df = spark.createDataFrame(rows, SCHEMA)
+    cut = guard.fold(df, ["k"], bucket=F.floor(F.col("seq") / 37))
+    assert sorted((r.k, r.seq, r.outcome) for r in cut.collect()) == sorted((r.k, r.seq, r.outcome) for r in guard.fold(df, ["k"]).collect())

@@ -195,3 +195,47 @@ def test_model_feature(spark):
         models.predict(spark.range(3).select(F.col("id").cast("double").alias("a")).coalesce(1), ["a"], lambda x: [1.0]).collect()
     ok, bad = models.score_writes(spark.createDataFrame([("pd",), ("other",)], "feature_name string"), {"pd": 3})
     assert ok.first().feature_version == 3 and bad.first().error.startswith("not a score feature")
+
+
+def test_batch_requests_are_checked_and_dealt(spark):
+    from tidemark.operators import chunks
+
+    items = spark.range(250).select(F.lit("j").alias("job_id"), F.col("id").alias("item_index"))
+    out = chunks.check_batch(items, 100)
+    assert {r.chunk_id: r["count"] for r in out.groupBy("chunk_id").count().collect()} == {"j:0": 100, "j:1": 100, "j:2": 50}
+    assert chunks.by_chunk(out, 7).rdd.getNumPartitions() == 7
+    for bad, size in ((items, 0), (items, 101), (items.limit(0), 10), (items.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(5)))), 10)):
+        with pytest.raises(ValueError):
+            chunks.check_batch(bad, size)
+    assert chunks.check_batch(items.withColumn("x", F.explode(F.sequence(F.lit(1), F.lit(5)))), 10, manifest=True).count() == 1250
+
+
+def test_labels_of_metrics_are_guarded(spark):
+    from tidemark.operators import evaluate
+
+    rows = spark.createDataFrame([("a", 1.0, 1), ("a", 3.0, 2), (None, 2.0, 3)], "kind string, v double, n int")
+    assert {r.series: r.value for r in evaluate.counter(rows, "c", ["kind"], "v").collect()} == {"c{kind=a}": 4.0, "c{kind=null}": 2.0}
+    assert evaluate.gauge(rows, "g", [], "v", "n").collect()[0].value == 2.0
+    for bad in ("x" * 65, "S3://bucket", "a\nb", "{x"):
+        with pytest.raises(Exception, match="no label may have"):
+            evaluate.counter(spark.createDataFrame([(bad,)], "kind string"), "c", ["kind"]).collect()
+
+
+def test_rejects_share_no_window_and_no_reference(spark):
+    from tidemark.operators import imports
+
+    lines = spark.createDataFrame([(i, "{oops" if i % 2 else '{"entity_key": {"u": "a"}, "event_ts": "2026-01-01T00:00:00Z", "payload": {"n": 1}}') for i in range(40)], "line long, value string")
+    out = imports.land(imports.parse_reports(imports.number_lines(lines), ["u"], "s", "k"))
+    rows = out.collect()
+    assert [r.status for r in sorted(rows, key=lambda r: r.line)][:4] == ["written", "rejected", "duplicate", "rejected"]
+    assert all(r.report_ref is None for r in rows if r.error) and len({r.report_ref for r in rows if not r.error}) == 1
+    assert "CASE WHEN isnotnull(error" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_versions_meet_constraints():
+    from tidemark.plans.promotion import satisfies
+
+    assert satisfies("1.2.0", ">=1.2,<2") and satisfies("1.2", "==1.2.0") and not satisfies("1.10", "<1.9")
+    for installed, text in (("1.0rc1", ">=1"), ("1", ""), ("1", ">=1,"), ("1", "~=1"), ("1", ">=1.*")):
+        with pytest.raises(ValueError):
+            satisfies(installed, text)

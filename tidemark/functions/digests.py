@@ -5,10 +5,12 @@ a double's canonical text is Spark's; `canonical_text` re-serialises arbitrary J
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -27,6 +29,8 @@ def canonical_text(raw: pd.Series) -> pd.Series:
     """Canonical form of JSON text; null where it does not parse or holds NaN or infinity."""
 
     def one(text):
+        if text is None:
+            return None
         try:
             return json.dumps(json.loads(text), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
         except (TypeError, ValueError):
@@ -58,11 +62,31 @@ def idempotency_key(entity_type: Column, entity: Column, groups: Column, feature
     return F.concat_ws(":", entity_type, entity, named, F.substring(F.sha2(body, 256), 1, 16))
 
 
-def dataset_fingerprint(hashes: Column) -> Column:
-    """An aggregate: digest of the sorted list of accepted content hashes, written as a JSON list with ", " between."""
+def group_fingerprint(hashes: Column) -> Column:
+    """An aggregate: the same digest for groups whose lists are short."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(hashes)), lambda h: F.concat(F.lit('"'), h, F.lit('"'))), ", ")
     return F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("["), body, F.lit("]")), 256))
 
 
+def dataset_fingerprint(rows: DataFrame, column: str) -> DataFrame:
+    """One row, `content_hash`: digest of the sorted list of a column's hashes, written as a JSON list with ", " between.
+
+    The digest of a sequence is sequential: one task reads the sorted hashes, which Spark spills, as a stream of batches
+    and holds no more than one of them."""
+
+    def digest(batches):
+        state, first = hashlib.sha256(b"["), True
+        for batch in batches:
+            listed = ", ".join(f'"{h}"' for h in batch.column(0).to_pylist())
+            if listed:
+                state.update(((", " if not first else "") + listed).encode())
+                first = False
+        state.update(b"]")
+        yield pa.RecordBatch.from_pydict({"content_hash": [f"sha256:{state.hexdigest()}"]})
+
+    sorted_ = rows.select(F.col(column).cast("string").alias("h")).where("h is not null").repartition(1).sortWithinPartitions("h")
+    return sorted_.mapInArrow(digest, "content_hash string")
+
+
 def storage_path(kind: Column, ref: Column, at: Column, bucket: str, suffix: str = ".json.gz") -> Column:
     return F.concat(F.lit(f"s3://{bucket}/"), kind, F.date_format(at, "/yyyy/MM/dd/"), ref, F.lit(suffix))

@@ -27,6 +27,29 @@ def chunked(items: DataFrame, size: int, order: Sequence[str], job: str = "job_i
     return out.withColumn("chunk_id", F.concat_ws(":", F.col(job).cast("string"), F.col("chunk_index").cast("string")))
 
 
+# The greatest chunk, and the most items of a request that carries its items or names a manifest.
+MAX_CHUNK, MAX_INLINE, MAX_MANIFEST = 100, 1000, 5_000_000
+
+
+def check_batch(items: DataFrame, size: int, manifest: bool = False, order: Sequence[str] = ("item_index",), job: str = "job_id", **more) -> DataFrame:
+    """Items of a batch request in chunks, or ValueError: a chunk size out of range, no items, or more than the request's
+    kind may have.  The count stops one past the limit."""
+    if not 1 <= size <= MAX_CHUNK:
+        raise ValueError(f"chunk size must be in 1..{MAX_CHUNK}")
+    most = MAX_MANIFEST if manifest else MAX_INLINE
+    count = items.limit(most + 1).count()
+    if not count:
+        raise ValueError("the scope has no eligible items")
+    if count > most:
+        raise ValueError(f"more than {most} items")
+    return chunked(items, size, order, job, **more)
+
+
+def by_chunk(chunked_items: DataFrame, partitions: int) -> DataFrame:
+    """Dealt by chunk id, so that one job spreads over partitions and a chunk stays whole."""
+    return chunked_items.repartition(partitions, "chunk_id")
+
+
 def first_errors(error: Column, order: Column, most: int = 10, width: int = 200) -> Column:
     """Aggregate: the first `most` errors in order, cut to `width`; the report's cap, kept by top-k slices."""
     pairs = F.array_sort(F.collect_list(F.when(error.isNotNull(), F.struct(order.alias("o"), F.left(error, F.lit(width)).alias("e")))))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -50,3 +50,33 @@ def histogram_summary(rows: DataFrame, value: str, labels: Sequence[str]) -> Dat
 
 def class_rates(rows: DataFrame, label: str, by: Sequence[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.col(label).cast("double")).alias("rate"))
+
+
+# What a label's value may not hold, and its greatest length.
+FORBIDDEN = ("payload", "object_key", "storage_uri", "storage://", "s3://", "select ", "insert ", "{", "}", "\n")
+MAX_LABEL = 64
+
+
+def _label(name: str) -> Column:
+    """A label's text; the query fails at a value that is too long or looks like content."""
+    text = F.coalesce(F.col(name).cast("string"), F.lit("null"))
+    bad = F.char_length(text) > MAX_LABEL
+    for part in FORBIDDEN:
+        bad = bad | F.contains(F.lower(text), F.lit(part))
+    return F.when(bad, F.raise_error(F.lit(f"label {name} has a value that no label may have")).cast("string")).otherwise(text)
+
+
+def series(name: str, labels: Sequence[str]) -> Column:
+    """A metric's name with its labels, `name{a=1,b=2}`, in order of label."""
+    text = F.concat_ws(",", *(F.concat(F.lit(f"{c}="), _label(c)) for c in sorted(labels)))
+    return F.concat(F.lit(name + "{"), text, F.lit("}")) if labels else F.lit(name)
+
+
+def counter(rows: DataFrame, name: str, labels: Sequence[str], value: str | None = None) -> DataFrame:
+    """(series, value): how many rows there are, or the sum of a column."""
+    return rows.groupBy(series(name, labels).alias("series")).agg((F.sum(value) if value else F.count("*")).cast("double").alias("value"))
+
+
+def gauge(rows: DataFrame, name: str, labels: Sequence[str], value: str, order: str) -> DataFrame:
+    """(series, value): the last value by `order`."""
+    return rows.groupBy(series(name, labels).alias("series")).agg(F.max_by(F.col(value).cast("double"), order).alias("value"))

@@ -27,15 +27,28 @@ def decide(new: dict[str, Column], old: dict[str, Column], exists: Column) -> Co
     return F.when(~exists, "written").when(a > b, "written").when(a < b, "skipped_stale").when(other | moved, "written_recompute").otherwise("noop")
 
 
-def fold(arrivals: DataFrame, keys: Sequence[str], seq: str = "seq", data_ts: str = "data_ts", max_input: str = "max_input_data_ts", fingerprint: str = "input_fingerprint", available: str = "available_at") -> DataFrame:
+def fold(arrivals: DataFrame, keys: Sequence[str], seq: str = "seq", data_ts: str = "data_ts", max_input: str = "max_input_data_ts", fingerprint: str = "input_fingerprint", available: str = "available_at", bucket: Column | None = None) -> DataFrame:
     """All arrivals with their `outcome`, as if processed one by one in order of `seq`.
 
     Within a key only the running maximum of the freshness, then runs of equal fingerprint, decide; so three passes of
-    windows that share one partitioning say what a sequential fold would."""
+    windows say what a sequential fold would.  `bucket`, a function of `seq` that never falls as `seq` grows, cuts keys
+    into stretches whose maxima are handed on, so that a hot key is many tasks; the later windows are by key and
+    freshness."""
     cols = arrivals.columns
-    at = Window.partitionBy(*keys).orderBy(seq)
     rows = arrivals.withColumn("_f", freshness(F.col(data_ts), F.col(max_input))).withColumn("_p", F.coalesce(F.col(fingerprint), F.lit("")))
-    rows = rows.withColumn("_top", F.max("_f").over(at.rowsBetween(Window.unboundedPreceding, -1)))
+    before = (Window.unboundedPreceding, -1)
+    if bucket is None:
+        rows = rows.withColumn("_top", F.max("_f").over(Window.partitionBy(*keys).orderBy(seq).rowsBetween(*before)))
+    else:
+        rows = rows.withColumn("_b", bucket)
+        carried = rows.groupBy(*keys, "_b").agg(F.max("_f").alias("_m"))
+        carried = carried.select(*keys, "_b", F.max("_m").over(Window.partitionBy(*keys).orderBy("_b").rowsBetween(*before)).alias("_m"))
+        on = F.lit(True)
+        for k in [*keys, "_b"]:
+            on = on & F.col(f"r.{k}").eqNullSafe(F.col(f"c.{k}"))
+        rows = rows.withColumn("_own", F.max("_f").over(Window.partitionBy(*keys, "_b").orderBy(seq).rowsBetween(*before)))
+        top = F.when(F.col("c._m").isNull() | (F.col("r._own") > F.col("c._m")), F.col("r._own")).otherwise(F.col("c._m"))
+        rows = rows.alias("r").join(carried.alias("c"), on, "left").select("r.*", top.alias("_top"))
     rows = rows.withColumn("_c", F.when(F.col("_top").isNull() | (F.col("_f") > F.col("_top")), "new").when(F.col("_f") < F.col("_top"), "stale").otherwise("equal"))
     live = (F.col("_c") != "stale").cast("int")
     same = Window.partitionBy(*keys, "_f", live).orderBy(seq)
@@ -92,3 +105,11 @@ def guarded_refresh(stored: DataFrame, rows: DataFrame, keys: Sequence[str], ord
     folded = fold_batch(stored, rows, keys, seq, **more)
     counts = folded.groupBy("outcome").agg(F.count("*").alias("n"))
     return (counts if late is None else counts.unionByName(late)), folded
+
+
+def refresh_from_history(online: DataFrame, wanted: DataFrame, picked: DataFrame, keys: Sequence[str], order: Sequence[str], seq: str = "seq", budget: int | None = None, **more) -> tuple[DataFrame, DataFrame]:
+    """A guarded refresh of the wanted keys from rows picked out of history as of a time: (outcomes with counts, folded
+    rows).  Wanted keys for which nothing was picked count as `missing_offline`."""
+    counts, folded = guarded_refresh(online, picked.join(wanted.select(*keys).distinct(), list(keys), "left_semi"), keys, order, seq, budget, **more)
+    absent = wanted.join(picked.select(*keys), list(keys), "left_anti").agg(F.lit("missing_offline").alias("outcome"), F.count("*").alias("n"))
+    return counts.unionByName(absent), folded

@@ -35,7 +35,8 @@ def parse_reports(lines: DataFrame, key_fields: Sequence[str], source: str, kind
     """Each line as a report row or with an `error`: malformed JSON, a missing field, a bad key, a time without zone,
     availability before the report itself.  A bad line never stops the run."""
     ship(lines.sparkSession)
-    body = F.try_parse_json(F.col(text))
+    lines = lines.withColumn("_body", F.try_parse_json(F.col(text)))  # a column, so that a line is parsed once
+    body = F.col("_body")
     get = lambda path, type_="string": F.try_variant_get(body, f"$.{path}", type_)
     parts = {k: get(f"entity_key.{k}") for k in key_fields}
     event, known = casts.parse_zoned(get("event_ts")), casts.parse_zoned(get("available_at"))
@@ -46,19 +47,22 @@ def parse_reports(lines: DataFrame, key_fields: Sequence[str], source: str, kind
         .when(event.isNull(), "event_ts must be a time with a zone").when(payload.isNull(), "missing payload")
         .when(get("available_at").isNotNull() & known.isNull(), "available_at must be a time with a zone").when(known < event, "available_at before event_ts")
     )
-    canonical = digests.canonical_text(payload)
+    canonical = digests.canonical_text(F.when(error.isNull(), payload))
     out = lines.withColumn("error", error).withColumn("entity_key", keys.entity_key(parts, key_fields)).withColumn("event_ts", event)
     out = out.withColumn("payload_json", canonical).withColumn("content_hash", digests.value_hash(F.col("payload_json")))
     out = out.withColumn("source_name", F.coalesce(get("source_name"), F.lit(source))).withColumn("report_type", F.coalesce(get("report_type"), F.lit(kind)))
     ref = digests.report_ref(F.col("entity_key"), F.col("source_name"), F.col("report_type"), F.col("content_hash"))
-    out = out.withColumn("report_ref", F.coalesce(get("report_ref"), ref)).withColumn("available_at", known)
-    return out.withColumn("availability_source", F.when(F.col("available_at").isNotNull(), "source_provided").otherwise("ingestion_time"))
+    out = out.withColumn("report_ref", F.coalesce(get("report_ref"), F.when(F.col("error").isNull(), ref))).withColumn("available_at", known)
+    return out.withColumn("availability_source", F.when(F.col("available_at").isNotNull(), "source_provided").otherwise("ingestion_time")).drop("_body")
 
 
 def land(parsed: DataFrame, existing_refs: DataFrame | None = None) -> DataFrame:
-    """Items with `status`: rejected, duplicate (seen before, or earlier in the run) or written."""
-    seen = parsed.withColumn("_nth", F.row_number().over(Window.partitionBy(F.col("error").isNull(), "report_ref").orderBy("item_index")))
-    seen = seen.withColumn("_first", F.first("content_hash").over(Window.partitionBy(F.col("error").isNull(), "report_ref").orderBy("item_index")))
+    """Items with `status`: rejected, duplicate (seen before, or earlier in the run) or written.
+
+    A reject shares its window with nothing, however many there are."""
+    alone = F.when(F.col("error").isNotNull(), F.col("item_index"))
+    same = Window.partitionBy(alone, F.when(alone.isNull(), F.col("report_ref"))).orderBy("item_index")
+    seen = parsed.withColumn("_nth", F.row_number().over(same)).withColumn("_first", F.first("content_hash").over(same))
     if existing_refs is not None:
         seen = seen.join(existing_refs.select("report_ref", F.col("content_hash").alias("_old")).distinct(), "report_ref", "left")
     else:
@@ -72,11 +76,13 @@ def land(parsed: DataFrame, existing_refs: DataFrame | None = None) -> DataFrame
 def manifest(items: DataFrame) -> DataFrame:
     """One row: counts, the least and greatest event time of accepted items, and the fingerprint of their contents."""
     accepted = F.col("status") != "rejected"
-    return items.agg(
+    counts = items.agg(
         F.count("*").alias("item_count_read"), *(F.count_if(F.col("status") == s).alias(f"item_count_{s}") for s in ("written", "duplicate", "rejected")),
         F.min(F.when(accepted, F.col("event_ts"))).alias("watermark_min_event_ts"), F.max(F.when(accepted, F.col("event_ts"))).alias("watermark_max_event_ts"),
-        digests.dataset_fingerprint(F.when(accepted, F.col("content_hash"))).alias("content_hash"),
     )
+    print_ = digests.dataset_fingerprint(items.where(accepted).select("content_hash"), "content_hash")
+    both = counts.unionByName(print_, allowMissingColumns=True)
+    return both.agg(*(F.max(c).alias(c) for c in both.columns))
 
 
 def eligible_items(items: DataFrame, include_duplicates: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions import digests
+from ..functions import digests, scoring
 from ..ship import ship
 from .training import training_set
 
@@ -78,3 +78,16 @@ def score_writes(scores: DataFrame, declared: Mapping[str, int]) -> tuple[DataFr
         version = F.when(F.col("feature_name") == name, v).otherwise(version)
     marked = scores.withColumn("feature_version", version)
     return marked.where(F.col("feature_version").isNotNull()), marked.where(F.col("feature_version").isNull()).withColumn("error", F.concat(F.lit("not a score feature: "), F.coalesce("feature_name", F.lit("null"))))
+
+
+def decide(latest: DataFrame, features: Sequence[str], probability: Column, reported: str = "missing", values: str = "values", ages: str | None = None, most_seconds: int | None = None) -> DataFrame:
+    """Rows with status, `refused` (names, sorted) and decision: `missing_features` where a feature is reported missing or
+    absent, `stale_features` where one is older than `most_seconds`, else `completed` with its band."""
+    wanted = F.array(*(F.lit(f) for f in sorted(features)))
+    there = F.coalesce(F.map_keys(values), F.expr("cast(array() as array<string>)"))
+    missing = F.array_sort(F.array_union(F.coalesce(F.col(reported), F.expr("cast(array() as array<string>)")), F.array_except(wanted, there)))
+    none = F.expr("cast(array() as array<string>)")
+    stale = none if most_seconds is None else F.filter(wanted, lambda f: F.col(ages)[f] > most_seconds)
+    out = latest.withColumn("refused", F.when(F.size(missing) > 0, missing).otherwise(stale))
+    status = F.when(F.size(missing) > 0, "missing_features").when(F.size("refused") > 0, "stale_features").otherwise("completed")
+    return out.withColumn("status", status).withColumn("decision", F.when(F.col("status") == "completed", scoring.decision(probability)))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import MAX_DEPTH, Plan, View
@@ -31,6 +31,21 @@ def candidates(events: DataFrame, edges: DataFrame) -> DataFrame:
     return events.join(F.broadcast(edges), ["feature_name", "feature_version"])
 
 
+def ordered(found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Candidates with their `place` among those of their keys, by dependent and version."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("dependent", "dependent_version")))
+
+
+def deferred(units: DataFrame, view: View, runnable: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(units that can be recomputed, units that wait): a model feature needs a runner, a feature outside the view or of
+    another version has none.  Those that wait count as skipped."""
+    ready = [(n, f.feature_version) for n, f in view.features.items() if f.kind == "udf" or n in runnable]
+    can = F.lit(False)
+    for name, version in ready:
+        can = can | ((F.col("dependent") == name) & (F.col("dependent_version") == version))
+    return units.where(can), units.where(~can)
+
+
 def coalesce_updates(found: DataFrame, seq: str = "seq", seen_at: str = "seen_at", trigger: str = "event_id") -> DataFrame:
     """One row per recomputation: first sight, count, triggers in order, and the watermark of the newest data (of ties the
     latest arrival)."""

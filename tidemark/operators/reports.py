@@ -58,3 +58,26 @@ def project(incoming: DataFrame, existing: DataFrame, origin: str, manifest_id:
     kept = existing.join(changes, "report_ref", "left").withColumn("available_at", F.coalesce("_at", "available_at")).withColumn("availability_source", F.coalesce("_source", "availability_source")).select(existing.columns)
     audit = fixed.select("report_ref", "old_available_at", F.col("available_at").alias("new_available_at"), F.lit(origin).alias("change_origin"), F.lit(manifest_id).alias("manifest_id"))
     return kept.unionByName(new), audit, judged.where("outcome in ('conflict', 'invalid')")
+
+
+def with_availability(items: DataFrame, metas: DataFrame) -> DataFrame:
+    """Items with their report's trusted availability; where there is none, the time its metadata was created stands in
+    and says so, so that no row is used before it could be known."""
+    m = metas.select("report_ref", F.coalesce("available_at", "created_at").alias("available_at"), F.coalesce("availability_source", F.lit("ingestion_time")).alias("availability_source"))
+    return items.join(m, "report_ref", "left")
+
+
+def put_payloads(payloads: DataFrame, path: str) -> None:
+    """Write (storage_uri, payload_json) as gzip text of canonical JSON, one folder of lines a bucket of names; what is
+    no JSON is refused."""
+    from ..functions import digests
+
+    canonical = digests.canonical_text(F.col("payload_json"))
+    checked = F.coalesce(canonical, F.raise_error(F.concat(F.lit("not JSON: "), "storage_uri")).cast("string"))
+    lines = payloads.select(F.pmod(F.xxhash64("storage_uri"), F.lit(64)).alias("bucket"), F.to_json(F.struct("storage_uri", checked.alias("payload_json"))).alias("value"))
+    lines.write.partitionBy("bucket").option("compression", "gzip").text(path)
+
+
+def get_payloads(spark, path: str) -> DataFrame:
+    """What `put_payloads` wrote, as (storage_uri, payload_json)."""
+    return spark.read.schema("storage_uri string, payload_json string").json(path)

@@ -111,3 +111,28 @@ class Stages:
             raise PromotionError("there is no previous bundle")
         self._checked(target, stage, reason)
         return self._move(Record("rollback", env, stage, target, here.bundle, actor, reason, now), here.shadow_since)
+
+
+def satisfies(installed: str, constraint: str) -> bool:
+    """Whether a numeric release meets all clauses, like `>=1.2,<2`; anything else in either is a ValueError."""
+    import operator
+    import re
+
+    compare = {"==": operator.eq, ">=": operator.ge, "<=": operator.le, ">": operator.gt, "<": operator.lt}
+
+    def number(text: str) -> list[int]:
+        if not re.fullmatch(r"[0-9]+(\.[0-9]+)*", text):
+            raise ValueError(f"not a numeric release: {text!r}")
+        out = [int(x) for x in text.split(".")]
+        while len(out) > 1 and out[-1] == 0:
+            out.pop()
+        return out
+
+    mine = number(installed.strip())
+    for clause in constraint.split(","):
+        found = re.fullmatch(r"\s*(==|>=|<=|>|<)\s*(\S+)\s*", clause)
+        if not found:
+            raise ValueError(f"not a version clause: {clause!r}")
+        if not compare[found[1]](mine, number(found[2])):
+            return False
+    return True

@@ -6,14 +6,13 @@ every third row) follow from event_id.  Timestamps stay without zone, so both en
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import casts, digests, keys, scoring
 from .operators import asof, checks, chunks, dedup, evaluate, guard, imports, merges, models, propagate, reports, training
 from .plans import dag, registry
+from .shared import shared_dir
 from .sources import history as store
 
 QUERIES: dict = {}
@@ -121,16 +120,21 @@ def training_summary(spark, d):
     return out.select(*(F.col(c).cast("long") for c in out.columns))
 
 
-@query(f"""WITH {HISTORY_SQL}, {OBS_SQL},
-m AS (SELECT o.obs_id, f.feature_name, max(h.data_ts) AS data_ts FROM obs o CROSS JOIN (VALUES ('click'), ('error')) f(feature_name)
-  LEFT JOIN hist h ON h.entity_key = o.entity_key AND h.feature_name = f.feature_name AND h.data_ts <= o.observation_ts AND coalesce(h.available_at, h.calc_ts) <= o.observation_ts GROUP BY ALL)
-SELECT obs_id, max(CASE WHEN feature_name = 'click' THEN CASE WHEN data_ts IS NULL THEN 'missing' ELSE 'ok' END END) AS "meta.click.status", max(CASE WHEN feature_name = 'click' THEN data_ts END) AS "meta.click.data_ts",
- max(CASE WHEN feature_name = 'error' THEN CASE WHEN data_ts IS NULL THEN 'missing' ELSE 'ok' END END) AS "meta.error.status", max(CASE WHEN feature_name = 'error' THEN data_ts END) AS "meta.error.data_ts" FROM m GROUP BY obs_id""")
+def _export_sql() -> str:
+    cells = ", ".join(f"""max(value) FILTER (WHERE feature_name = '{t}') AS "feature.{t}", CASE WHEN bool_or(feature_name = '{t}') THEN 'ok' ELSE 'missing' END AS "meta.{t}.status", max(data_ts) FILTER (WHERE feature_name = '{t}') AS "meta.{t}.data_ts\"""" for t in TYPES)
+    return f"""WITH {HISTORY_SQL}, {OBS_SQL},
+j AS (SELECT o.obs_id, h.feature_name, h.value, h.data_ts, row_number() OVER (PARTITION BY o.obs_id, h.feature_name ORDER BY h.data_ts DESC, h.calc_ts DESC, h.row_id DESC) AS rn
+  FROM obs o LEFT JOIN hist h ON o.entity_key = h.entity_key AND h.data_ts <= o.observation_ts AND coalesce(h.available_at, h.calc_ts) <= o.observation_ts)
+SELECT obs_id, {cells} FROM j WHERE rn = 1 GROUP BY obs_id"""
+
+
+@query(_export_sql())
 def training_export_flat(spark, d):
-    """The flat export's cell metadata."""
-    wide = training.training_set(observations(spark, d), event_history(spark, d), ["entity_key"], {"click": 1, "error": 1}, known=_known(), bucket_seconds=BUCKET)
-    flat = training.flat_rows(wide, ["entity_key"], ["click", "error"], context=["obs_id"])
-    return flat.select(F.col("`context.obs_id`").alias("obs_id"), *(F.col(f"`meta.{f}.{x}`") for f in ("click", "error") for x in ("status", "data_ts")))
+    """The flat export: every feature's value, status and time."""
+    wide = training.training_set(observations(spark, d), event_history(spark, d), ["entity_key"], dict.fromkeys(TYPES, 1), known=_known(), bucket_seconds=BUCKET)
+    flat = training.flat_rows(wide, ["entity_key"], list(TYPES), context=["obs_id"])
+    cells = [F.col(f"`{c}`") for t in TYPES for c in (f"feature.{t}", f"meta.{t}.status", f"meta.{t}.data_ts")]
+    return flat.select(F.col("`context.obs_id`").alias("obs_id"), *cells)
 
 
 # The write guard: arrivals of a user, freshness by day, fingerprint by event type.
@@ -155,7 +159,7 @@ o AS (SELECT user_id, seq, d, CASE WHEN c0 = 'new' THEN 'written' WHEN nth = 1 T
 
 @query(f"WITH {GUARD_SQL} SELECT user_id, seq, outcome FROM o")
 def guard_fold(spark, d):
-    return guard.fold(arrivals(spark, d), ["user_id"]).select("user_id", "seq", "outcome")
+    return guard.fold(arrivals(spark, d), ["user_id"], bucket=F.floor(F.col("seq") / 1000)).select("user_id", "seq", "outcome")
 
 
 @query(f"WITH {GUARD_SQL} SELECT user_id, max(seq) AS seq, arg_max(d, seq) AS data_ts FROM o WHERE outcome LIKE 'written%' GROUP BY user_id")
@@ -174,14 +178,8 @@ def guard_in_batches(spark, d):
     return held.select("user_id", "seq", "data_ts")
 
 
-@query(f"WITH {GUARD_SQL} SELECT user_id, CASE WHEN bool_or(outcome LIKE 'written%') THEN 'written' WHEN bool_or(outcome = 'skipped_stale') THEN 'skipped_stale' ELSE 'noop' END AS status FROM o WHERE seq % 40 = 7 GROUP BY user_id")
-def guard_status(spark, d):
-    folded = guard.fold(arrivals(spark, d), ["user_id"])
-    return folded.where("seq % 40 = 7").groupBy("user_id").agg(guard.overall(F.col("outcome")).alias("status"))
-
-
 @query(f"WITH {GUARD_SQL} SELECT user_id, d AS data_ts, CASE WHEN bool_or(outcome LIKE 'written%') THEN 'written' WHEN bool_or(outcome = 'skipped_stale') THEN 'skipped_stale' ELSE 'noop' END AS status FROM o GROUP BY user_id, d")
-def guard_status_daily(spark, d):
+def guard_status(spark, d):
     """The status of all arrivals, a write batch being a user's day."""
     folded = guard.fold(arrivals(spark, d), ["user_id"])
     return folded.groupBy("user_id", "data_ts").agg(guard.overall(F.col("outcome")).alias("status"))
@@ -192,8 +190,7 @@ def fold_streaming_equivalence(spark, d):
     """The same table once more, from a file stream of several micro-batches."""
     from .streaming.pipelines import Versioned, guarded_latest
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    work = f"{base.rstrip('/')}/fold-{spark._jvm.java.util.UUID.randomUUID()}"
+    work = f"{shared_dir(spark)}/fold-{spark._jvm.java.util.UUID.randomUUID()}"
     rows = arrivals(spark, d)
     for k in range(3):
         rows.where(F.floor(F.col("seq") / 4000) == k if k < 2 else F.col("seq") >= 8000).coalesce(1).write.mode("append").parquet(f"{work}/in")
@@ -335,7 +332,7 @@ def value_hashes(spark, d):
 
 @query("SELECT o_custkey, 'sha256:' || sha256('[' || string_agg('\"' || h || '\"', ', ' ORDER BY h) || ']') AS content_hash FROM (SELECT o_custkey, sha256(CAST(o_orderkey AS VARCHAR)) AS h FROM orders) GROUP BY o_custkey")
 def dataset_fingerprint(spark, d):
-    return table(spark, d, "orders").groupBy("o_custkey").agg(digests.dataset_fingerprint(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("content_hash"))
+    return table(spark, d, "orders").groupBy("o_custkey").agg(digests.group_fingerprint(F.sha2(F.col("o_orderkey").cast("string"), 256)).alias("content_hash"))
 
 
 @query("SELECT o_orderkey, 's3://raw/order/' || strftime(o_orderdate, '%Y/%m/%d/') || 'r' || o_orderkey || '.json.gz' AS uri FROM orders")
@@ -401,9 +398,11 @@ def jsonl_reject_split(spark, d):
     return items(spark, d).select("line", "item_index", "status", "error")
 
 
-@query(f"WITH {REPORT_SQL} SELECT count(*) AS item_count_read, count_if(status = 'written') AS item_count_written, count_if(status = 'duplicate') AS item_count_duplicate, count_if(status = 'rejected') AS item_count_rejected, 'sha256:' || sha256('[' || string_agg('\"' || h || '\"', ', ' ORDER BY h) FILTER (WHERE status <> 'rejected') || ']') AS content_hash FROM i")
+@query(f"WITH {REPORT_SQL} SELECT count(*) AS item_count_read, count_if(status = 'written') AS item_count_written, count_if(status = 'duplicate') AS item_count_duplicate, count_if(status = 'rejected') AS item_count_rejected, 'sha256:' || sha256('[' || string_agg('\"' || h || '\"', ', ' ORDER BY h) FILTER (WHERE status <> 'rejected') || ']') AS content_hash, min(ts) FILTER (WHERE status <> 'rejected') AS watermark_min_event_ts, max(ts) FILTER (WHERE status <> 'rejected') AS watermark_max_event_ts FROM i")
 def manifest_counts(spark, d):
-    return imports.manifest(items(spark, d)).drop("watermark_min_event_ts", "watermark_max_event_ts")
+    plain = lambda c: F.to_utc_timestamp(c, F.current_timezone()).cast("timestamp_ntz")
+    marks = ("watermark_min_event_ts", "watermark_max_event_ts")
+    return imports.manifest(items(spark, d)).withColumns({c: plain(c) for c in marks})
 
 
 @query(f"WITH {REPORT_SQL} SELECT event_id AS line FROM i WHERE status = 'written'")
@@ -437,25 +436,25 @@ def consistency_overall(spark, d):
 
 
 def shadowed(spark, d):
-    l = table(spark, d, "lineitem").where("l_returnflag <> 'N'")
+    l = table(spark, d, "lineitem")
     return l.select(F.col("l_partkey").cast("string").alias("entity_key"), F.when(F.col("l_returnflag") == "A", "live").otherwise("shadow").alias("feature_name"), F.lit(1).alias("feature_version"), F.col("l_shipdate").alias("calc_ts"), F.col("l_linenumber").cast("string").alias("value_hash"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
 
 
-@query("""WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS k, l_returnflag AS f, arg_max(CAST(l_linenumber AS VARCHAR), (l_shipdate, -(l_orderkey * 10 + l_linenumber))) AS h FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2),
-j AS (SELECT coalesce(a.k, b.k) AS k, a.h AS lh, b.h AS sh FROM (FROM p WHERE f = 'A') a FULL JOIN (FROM p WHERE f <> 'A') b ON a.k = b.k)
+@query("""WITH p AS (SELECT CAST(l_partkey AS VARCHAR) AS k, l_returnflag = 'A' AS f, arg_max(CAST(l_linenumber AS VARCHAR), (l_shipdate, -(l_orderkey * 10 + l_linenumber))) AS h FROM lineitem GROUP BY 1, 2),
+j AS (SELECT coalesce(a.k, b.k) AS k, a.h AS lh, b.h AS sh FROM (FROM p WHERE f) a FULL JOIN (FROM p WHERE NOT f) b ON a.k = b.k)
 SELECT count_if(lh = sh) AS same_hash, count_if(lh <> sh) AS different_hash, count_if(lh IS NULL) AS missing_live, count_if(sh IS NULL) AS missing_shadow, count_if(lh IS NOT NULL AND sh IS NOT NULL) AS total_compared, (SELECT string_agg(k, ',' ORDER BY k) FROM (SELECT k FROM j WHERE lh <> sh ORDER BY k LIMIT 10)) AS sample FROM j""")
 def shadow_diff(spark, d):
     out = checks.shadow_diff(shadowed(spark, d), ("live", 1), ("shadow", 1))
     return out.select("same_hash", "different_hash", "missing_live", "missing_shadow", "total_compared", F.array_join("sample_different_hash", ",").alias("sample"))
 
 
-@query("""WITH r AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), h AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_linenumber = 1)
+@query("""WITH r AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1), h AS (SELECT DISTINCT l_orderkey FROM lineitem)
 SELECT o_orderkey, h.l_orderkey IS NOT NULL AS found, CASE WHEN h.l_orderkey IS NULL THEN 'feature_value_not_found' ELSE
  CASE WHEN o_orderkey % 4 = 0 THEN 'unknown_report_ref:x' || o_orderkey || ',' ELSE '' END || CASE WHEN o_orderkey % 4 = 0 AND o_orderkey % 3 <> 0 THEN 'source_report_refs_not_available,' ELSE '' END || 'bundle_digest_not_available' END AS gaps
 FROM orders LEFT JOIN h ON o_orderkey = h.l_orderkey""")
 def lineage_gaps(spark, d):
     o, l = table(spark, d, "orders"), table(spark, d, "lineitem")
-    hist = l.where("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("calc_ts"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("row_id"))
+    hist = l.select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").alias("calc_ts"), (F.col("l_partkey") * 100000 + F.col("l_suppkey")).alias("row_id"))
     n = F.col("o_orderkey")
     ref = F.when(n % 4 == 0, F.concat(F.lit("x"), n)).otherwise(F.concat(F.lit("r"), n))
     wanted = o.select("o_orderkey", F.array(ref).alias("refs"), n.cast("string").alias("entity_key"))
@@ -501,7 +500,7 @@ def report_resolution(spark, d):
 
 # Propagation.
 def feed(spark, d):
-    e = table(spark, d, "events").where("event_type in ('click', 'view')")
+    e = table(spark, d, "events")
     return e.select(F.col("event_id"), F.col("event_id").alias("seq"), F.col("user_id").cast("string").alias("entity_key"), F.lit("v").alias("view"), F.lit(1).alias("view_version"), F.col("event_type").alias("feature_name"), F.when(F.col("event_id") % 6 == 0, 2).otherwise(1).alias("feature_version"), F.date_trunc("day", F.col("ts")).cast("timestamp_ntz").alias("data_ts"), F.col("ts").alias("seen_at"))
 
 
@@ -687,12 +686,11 @@ def latest_online_lookup(spark, d):
     return out.select("user_id", F.col("values")["activity"].alias("activity"), F.when(F.size("missing") > 0, F.array_join("missing", ",")).alias("missing"))
 
 
-@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, value FROM events WHERE event_type = 'click'")
+@query("SELECT row_number() OVER (ORDER BY event_id) - 1 AS row_id, event_id, value FROM events")
 def history_append_read(spark, d):
     """Two appends to a history log; row numbers go on where the first ended."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
-    log = store.Log(spark, f"{base.rstrip('/')}/log-{spark._jvm.java.util.UUID.randomUUID()}")
-    e = table(spark, d, "events").where("event_type = 'click'").select("event_id", "value")
+    log = store.Log(spark, f"{shared_dir(spark)}/log-{spark._jvm.java.util.UUID.randomUUID()}")
+    e = table(spark, d, "events").select("event_id", "value")
     log.append(e.where("event_id < 4000"), ["event_id"])
     log.append(e.where("event_id >= 4000"), ["event_id"])
     return log.read(["row_id", "event_id", "value"])
@@ -760,3 +758,167 @@ def deadline_filter(spark, d):
     e = e.withColumn("expires_at", chunks.expires_at(F.col("ts"), (F.col("value") * 1000).cast("long"), 60000))
     ok, late = chunks.deadline_split(e, F.lit("2024-01-15").cast("timestamp_ntz"))
     return ok.select("event_id", F.lit("served").alias("status")).union(late.select("event_id", "status"))
+
+
+# Merges, replays and keys.
+@query("""WITH u AS (SELECT event_id // 4 AS job_id, event_id AS seq, event_id % 3 AS n, CASE WHEN event_type <> 'view' THEN event_type ELSE '' END AS label, CASE WHEN event_id % 5 = 0 THEN event_type END AS f, event_id % 7 = 0 AS w, ts FROM events)
+SELECT job_id, arg_max(n, seq) FILTER (WHERE n <> 0) AS n, arg_max(label, seq) FILTER (WHERE label <> '') AS label, arg_max(f, seq) FILTER (WHERE f IS NOT NULL) AS features, bool_or(w) AS write_online, arg_min(ts, seq) AS created_at FROM u GROUP BY job_id""")
+def job_merge(spark, d):
+    n = F.col("event_id")
+    e = table(spark, d, "events").select(F.floor(n / 4).alias("job_id"), n.alias("seq"), (n % 3).alias("n"), F.when(F.col("event_type") != "view", F.col("event_type")).otherwise("").alias("label"), F.when(n % 5 == 0, F.array("event_type")).otherwise(F.expr("cast(array() as array<string>)")).alias("features"), (n % 7 == 0).alias("write_online"), F.col("ts").alias("created_at"))
+    out = merges.merge_jobs(e, truthy=["n", "label"], lists=["features"])
+    return out.select("job_id", "n", "label", F.array_join("features", ",").alias("features"), "write_online", "created_at")
+
+
+def processed_chunks(spark, d):
+    n = F.col("event_id")
+    status = F.when(F.col("event_type") == "view", "running").when(F.col("event_type") == "error", "failed").otherwise("completed")
+    return table(spark, d, "events").select((F.col("user_id") % 50).alias("job_id"), (n % 40).alias("chunk_id"), n.alias("seq"), status.alias("status"), (n % 2).alias("item_count"), F.lit(1).alias("ok_items"), F.lit(0).alias("failed_items"), F.lit(None).cast("string").alias("first_errors"))
+
+
+CHUNKS_SQL = "c AS (SELECT user_id % 50 AS job_id, event_id % 40 AS chunk_id, event_id AS seq, CASE event_type WHEN 'view' THEN 'running' WHEN 'error' THEN 'failed' ELSE 'completed' END AS status, event_id % 2 AS item_count FROM events)"
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT job_id, chunk_id, count(DISTINCT (status, item_count)) AS n_results FROM c WHERE status <> 'running' GROUP BY 1, 2 HAVING count(DISTINCT (status, item_count)) > 1")
+def chunk_conflicts(spark, d):
+    return merges.chunk_conflicts(processed_chunks(spark, d))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT job_id, chunk_id, arg_max(status, (status <> 'running', seq)) AS status, arg_max(seq, (status <> 'running', seq)) AS seq FROM c GROUP BY 1, 2")
+def chunk_merge(spark, d):
+    return merges.merge_chunks(processed_chunks(spark, d)).select("job_id", "chunk_id", "status", "seq")
+
+
+@query("""WITH k AS (SELECT o_orderkey, 'c|' || o_custkey || '|' || CASE WHEN o_orderkey % 3 = 0 THEN '[]' ELSE '["a","b"]' END || '|["' || least(o_orderstatus, 'M') || '","' || greatest(o_orderstatus, 'M') || '"]|["h' || (o_orderkey % 5) || '"]' AS body, CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE 'a|b' END AS g, o_custkey FROM orders)
+SELECT o_orderkey, 'c:' || o_custkey || ':' || g || ':' || substr(sha256(body), 1, 16) AS key FROM k""")
+def idempotency_keys(spark, d):
+    n = F.col("o_orderkey")
+    groups = F.when(n % 3 == 0, F.expr("cast(array() as array<string>)")).otherwise(F.array(F.lit("b"), F.lit("a")))
+    key = digests.idempotency_key(F.lit("c"), F.col("o_custkey").cast("string"), groups, F.array("o_orderstatus", F.lit("M")), F.array(F.concat(F.lit("h"), n % 5)))
+    return table(spark, d, "orders").select("o_orderkey", key.alias("key"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 = 0 THEN 'top' ELSE 'base' END AS payload FROM customer UNION ALL SELECT -c_custkey, 'top' FROM customer WHERE c_custkey % 6 = 0")
+def request_overlay(spark, d):
+    """A request's own payloads shadow the store's and add to them."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("base").alias("payload"))
+    top = c.where("k % 3 = 0").select("k", F.lit("top").alias("payload")).union(c.where("k % 6 = 0").select(-F.col("k"), F.lit("top")))
+    return reports.overlay(c, top, "k")
+
+
+@query("SELECT c_custkey AS request_id, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS balance, c_custkey % 4 = 0 AS result_missing, CASE WHEN c_custkey % 4 = 0 THEN 'balance,rank' WHEN c_custkey % 2 = 1 THEN 'rank' ELSE '' END AS missing FROM customer")
+def request_scoped_read(spark, d):
+    """Requests see their own results and never latest values."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), "c_acctbal")
+    held = c.where("request_id % 4 <> 0")
+    rows = held.select("request_id", F.lit("balance").alias("feature_name"), F.col("c_acctbal").alias("value")).union(held.where("request_id % 2 = 0").select("request_id", F.lit("rank"), F.lit(1.0)))
+    asked = c.select("request_id", F.array(F.lit("balance"), F.lit("rank")).alias("requested_features"))
+    out = store.request_results(asked, rows)
+    return out.select("request_id", F.col("values")["balance"].alias("balance"), "result_missing", F.array_join("missing", ",").alias("missing"))
+
+
+@query("""SELECT event_id, ts + INTERVAL 24 HOUR * (event_id % 3) AS available_at, CASE WHEN event_id % 2 = 0 THEN 'source_provided' ELSE 'ingestion_time' END AS availability_source FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, ts + INTERVAL 6 HOUR, 'ingestion_time' FROM events WHERE event_id % 2 <> 0""")
+def availability_fallback(spark, d):
+    """Where a report has no trusted availability, the time its metadata was made stands in."""
+    n = F.col("event_id")
+    e = table(spark, d, "events")
+    given = n % 2 == 0
+    m = e.select(n.cast("string").alias("report_ref"), F.when(given, F.col("ts") + F.make_interval(hours=(n % 3 * 24).cast("int"))).alias("available_at"), (F.col("ts") + hours(F.lit(6))).alias("created_at"), F.when(given, "source_provided").alias("availability_source"))
+    return reports.with_availability(e.select("event_id", n.cast("string").alias("report_ref")), m).drop("report_ref")
+
+
+# Feature functions that no other query uses.
+@query("""WITH x AS (SELECT o_orderkey, o_totalprice AS p, o_custkey % 13 AS m, date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS since, o_orderkey % 90 AS worst, o_orderkey % 4 AS loans, o_custkey % 1000 AS sim FROM orders)
+SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN 9999 ELSE since END AS days, CASE WHEN p <= 0 THEN 0.0 ELSE round(1.0 / (1.0 + 500.0 / p) * (m / 12.0), 6) END AS stability,
+ CASE WHEN since <= 180 AND worst >= 30 THEN 1 ELSE 0 END AS delinquent, CASE WHEN loans = 0 OR sim < 365 THEN 1 ELSE 0 END AS thin, round(greatest(0.0, least(1.0, p / 200000)) * 0.5 + greatest(0.0, least(1.0, CAST(m AS DOUBLE) / 10)) * 0.25, 6) AS risk FROM x""")
+def risk_functions(spark, d):
+    n, price = F.col("o_orderkey"), F.col("o_totalprice")
+    m = F.col("o_custkey") % 13
+    day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+05:00'")
+    since = scoring.days_since(day, F.lit("1995-01-01T23:59:59Z"))
+    return table(spark, d, "orders").select(
+        "o_orderkey", scoring.days_since(day, F.when(n % 9 != 0, F.lit("1995-01-01"))).cast("long").alias("days"), F.round(scoring.stability(price, F.lit(500.0), m), 6).alias("stability"),
+        scoring.recent_delinquency(since, n % 90).alias("delinquent"), scoring.thin_file(n % 4, F.col("o_custkey") % 1000).alias("thin"), F.round(scoring.blend([(price / 200000, 0.5), (m.cast("double") / 10, 0.25)]), 6).alias("risk"),
+    )
+
+
+# Propagation and refreshes.
+@query("SELECT event_id, CAST(user_id AS VARCHAR) AS entity_key, event_type AS feature_name FROM events WHERE (event_type = 'click' AND event_id % 6 <> 0) OR event_type = 'view'")
+def change_feed(spark, d):
+    """One event without values for each written feature that something reacts to."""
+    rows = feed(spark, d).withColumn("calc_ts", F.col("event_id"))
+    return propagate.updates(rows, edges(spark)).select(F.col("calc_ts").alias("event_id"), "entity_key", "feature_name")
+
+
+@query(f"WITH {FEED_SQL} SELECT event_id, dependent, CAST(dv AS INTEGER) AS dependent_version, CAST(row_number() OVER (PARTITION BY event_id ORDER BY dependent, dv) AS INTEGER) AS place FROM c")
+def candidate_order(spark, d):
+    return propagate.ordered(propagate.candidates(feed(spark, d), edges(spark)), ["event_id"]).select("event_id", "dependent", "dependent_version", "place")
+
+
+@query("""WITH p AS (SELECT user_id, ts, CASE WHEN event_type IN ('click', 'view') THEN 1 ELSE 0 END AS c FROM events)
+SELECT count(*) AS planned, count(DISTINCT user_id) AS entities, CAST(sum(c) AS BIGINT) AS computed, max(CASE WHEN c = 1 THEN greatest(0.0, epoch_us(TIMESTAMP '2024-01-20' - ts) / 1e6) END) AS max_lag_seconds, count(*) - CAST(sum(c) AS BIGINT) AS skipped FROM (SELECT user_id, ts, c FROM p)""".replace("epoch_us(TIMESTAMP '2024-01-20' - ts)", "(epoch_us(TIMESTAMP '2024-01-20') - epoch_us(ts))"))
+def wave_accounting(spark, d):
+    """Planned, computed and skipped units of a wave, and its greatest lag; model features wait without a runner."""
+    view = registry.build(WAVE).views["activity"]
+    e = table(spark, d, "events").select(F.col("user_id").alias("entity_key"), F.col("event_type").alias("dependent"), F.lit(1).alias("dependent_version"), F.col("ts").alias("data_ts"), F.lit("2024-01-20").cast("timestamp_ntz").alias("calc_ts"))
+    ready, _ = propagate.deferred(e, view)
+    return propagate.accounting(e, ready)
+
+
+@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'again' WHEN event_id % 7 >= 5 THEN 'dead' ELSE 'again' END AS fate, CASE WHEN event_type = 'error' THEN event_id % 7 WHEN event_id % 7 >= 5 THEN event_id % 7 ELSE event_id % 7 + 1 END AS attempt FROM events""")
+def retry_or_bury(spark, d):
+    """Failures are tried five times; those of the platform itself for ever."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 7).alias("attempt"), (F.col("event_type") == "error").alias("infrastructure"))
+    again, dead = chunks.retry_or_bury(e)
+    return again.select("event_id", F.lit("again").alias("fate"), "attempt").union(dead.select("event_id", F.lit("dead"), "attempt"))
+
+
+@query(f"""WITH {GUARD_SQL}, h AS (SELECT user_id, max(seq) AS seq, arg_max(t, seq) AS t FROM (SELECT o.user_id, o.seq, k.t FROM o JOIN k USING (user_id, seq) WHERE outcome LIKE 'written%') GROUP BY user_id),
+n AS (SELECT b.user_id, CASE WHEN h.t IS NULL OR b.t > h.t THEN 'written' WHEN b.t < h.t THEN 'skipped_stale' ELSE 'same' END AS outcome FROM (SELECT user_id, max(seq) AS s, arg_max(t, seq) AS t FROM b GROUP BY user_id) b LEFT JOIN h USING (user_id))
+SELECT outcome, count(*) AS n FROM n WHERE outcome <> 'same' GROUP BY outcome UNION ALL SELECT 'unchanged', count(*) FROM n WHERE outcome = 'same' UNION ALL SELECT 'missing_offline', count(*) FROM (SELECT DISTINCT user_id FROM events)""")
+def refresh_counts(spark, d):
+    """Each user's last arrival against the latest-value table; users of other names have nothing offline."""
+    rows = arrivals(spark, d)
+    online = guard.latest(guard.fold(rows, ["user_id"]), ["user_id"]).drop("outcome")
+    last = rows.groupBy("user_id").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "user_id"]), "seq").alias("r")).select("user_id", "r.*")
+    wanted = rows.select("user_id").union(rows.select(-F.col("user_id") - 1)).distinct()
+    counts, _ = guard.refresh_from_history(online, wanted, last, ["user_id"], ["user_id"])
+    name = F.when(F.col("outcome").isin("noop", "written_recompute"), "unchanged").otherwise(F.col("outcome"))
+    return counts.groupBy(name.alias("outcome")).agg(F.sum("n").alias("n")).unionByName(spark.createDataFrame([("unchanged", 0)], "outcome string, n long")).groupBy("outcome").agg(F.sum("n").alias("n"))
+
+
+# Records and metrics.
+@query("""SELECT o_orderkey AS manifest_id, CASE WHEN o_orderkey % 4 = 0 THEN 'done' ELSE 'open' END AS status, CASE WHEN o_orderkey % 4 = 0 THEN 9 ELSE 1 END AS item_count_read, 'me' AS created_by FROM orders WHERE o_orderkey % 8 <> 4
+UNION ALL SELECT o_orderkey, 'done', 9, 'you' FROM orders WHERE o_orderkey % 8 = 4""")
+def manifest_upsert(spark, d):
+    """Known manifests take status and counts only; new ones are added whole."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("manifest_id"))
+    row = lambda status, n, who: (F.lit(status).alias("status"), F.lit(n).alias("item_count_read"), F.lit(who).alias("created_by"))
+    return store.upsert_manifests(o.where("manifest_id % 8 <> 4").select("*", *row("open", 1, "me")), o.where("manifest_id % 4 = 0").select("*", *row("done", 9, "you")))
+
+
+@query("SELECT 'events{event_type=' || event_type || '}' AS series, CAST(count(*) AS DOUBLE) AS value FROM events GROUP BY event_type UNION ALL SELECT 'last{event_type=' || event_type || '}', arg_max(value, event_id) FROM events GROUP BY event_type")
+def metric_series(spark, d):
+    """Counters and gauges by label."""
+    e = table(spark, d, "events")
+    return evaluate.counter(e, "events", ["event_type"]).union(evaluate.gauge(e, "last", ["event_type"], "value", "event_id"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'missing_features' WHEN c_custkey % 3 = 0 THEN 'stale_features' ELSE 'completed' END AS status, CASE WHEN c_custkey % 5 = 0 THEN CASE WHEN c_custkey % 10 = 0 THEN 'balance,other' ELSE 'balance' END WHEN c_custkey % 3 = 0 THEN 'rank' ELSE '' END AS refused,
+ CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 3 <> 0 THEN CASE WHEN c_nationkey < 3 THEN 'approve' WHEN c_nationkey < 8 THEN 'review' ELSE 'decline' END END AS decision FROM customer""")
+def decision_refusal(spark, d):
+    """No decision on missing features, reported or absent, nor on stale ones."""
+    n = F.col("c_custkey")
+    names = F.when(n % 5 == 0, F.create_map(F.lit("rank"), F.lit(1.0))).otherwise(F.create_map(F.lit("rank"), F.lit(1.0), F.lit("balance"), F.col("c_acctbal")))
+    rows = table(spark, d, "customer").select("c_custkey", "c_nationkey", names.alias("values"), F.when(n % 10 == 0, F.array(F.lit("other"))).alias("missing"), F.create_map(F.lit("balance"), F.lit(1), F.lit("rank"), F.when(n % 3 == 0, 100).otherwise(1)).alias("ages"))
+    out = models.decide(rows, ["balance", "rank"], (F.col("c_nationkey") + 0.5) / 28, ages="ages", most_seconds=50)
+    return out.select("c_custkey", "status", F.array_join("refused", ",").alias("refused"), "decision")
+
+
+@query(_pit_sql("INTERVAL 0 SECOND", "coalesce(h.available_at, h.calc_ts)").replace("SELECT o.obs_id, o.entity_key, o.observation_ts, " + ", ".join(f"w.{t}_row, w.{t}_value" for t in TYPES), "SELECT o.obs_id, o.observation_ts, " + ", ".join(f"w.{t}_value, CASE WHEN w.{t}_row IS NULL THEN 'missing' ELSE 'ok' END AS {t}_status" for t in TYPES)))
+def training_export_nested(spark, d):
+    """The nested export, read through its structs."""
+    wide = training.training_set(observations(spark, d), event_history(spark, d), ["entity_key"], dict.fromkeys(TYPES, 1), known=_known(), bucket_seconds=BUCKET)
+    rows = training.nested_rows(wide, ["entity_key"], list(TYPES), context=["obs_id"])
+    return rows.select("context.obs_id", "observation_ts", *(c for t in TYPES for c in (F.col(f"features.{t}").alias(f"{t}_value"), F.col(f"feature_metadata.{t}.status").alias(f"{t}_status"))))
