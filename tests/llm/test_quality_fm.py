@@ -58,3 +58,31 @@ def test_keep_good_and_empty_tables(spark):
     none = spark.createDataFrame([], docs.schema)
     assert q.quality(none, labels).collect() == [] and q.keep_good(none, labels).collect() == []
     assert {r.score for r in q.quality(docs, spark.createDataFrame([], labels.schema)).collect()} == {0.5}
+
+
+def test_metadata_has_a_level_for_every_case(spark):
+    df = spark.createDataFrame([(None, "a"), (-3, "7"), (0, None), (1, "1e400"), (2, " 12 "), (1 << 60, "x")], "n_chars long, other string")
+    assert [r[0][0] for r in df.select(q.levels(df)).collect()] == [0, 1, 1, 2, 3, q.LEVELS - 1]
+    text = df.select(df.other.alias("n_chars"))
+    assert [r[0][0] for r in text.select(q.levels(text)).collect()][0] == 0
+    none = df.select("other")
+    assert {bytes(r[0]) for r in none.select(q.levels(none)).collect()} == {bytes(len(q.METADATA))}
+
+
+def test_repeated_ids_and_long_texts_stay_bounded_on_the_driver(spark):
+    docs, labels = tables(spark, 120)
+    many = docs.union(docs.where("doc_id = 5")).union(docs.where("doc_id = 5"))
+    a, b = q.fit(docs, labels), q.fit(many, labels.union(labels))
+    assert a.w0 == b.w0 and (a.w == b.w).all()
+    at, _ = next(q.features([b" ".join(b"w%d" % i for i in range(200_000))]))
+    assert len(at) <= q.WORDS + q.STATS + len(q.METADATA)
+
+
+def test_held_out_labels_of_the_corpus(spark):
+    d = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    rows = q.quality(docs, labels).join(labels, "doc_id").where("held_out and quality is not null").select("score", "quality").collect()
+    good, bad = [r.score for r in rows if r.quality], [r.score for r in rows if not r.quality]
+    auc = np.mean([(g > x) + 0.5 * (g == x) for g in good for x in bad])
+    print(f"held-out rows {len(rows)}, AUC {auc:.3f}")
+    assert auc > 0.95
