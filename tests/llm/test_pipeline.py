@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -39,7 +40,8 @@ def test_run_matches_brute_force(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     rows = docs.collect()
     model = quality_fm.fit(docs, labels)
-    scores = model.scores([(r.text or "").encode() for r in rows])
+    metas = [r.m for r in docs.select(quality_fm.levels(docs).alias("m")).collect()]
+    scores = model.scores([(r.text or "").encode() for r in rows], metas)
     rows = [r for r, s in zip(rows, scores) if s >= 0.7]
     rows = near_copies(rows)
     items = [decontaminate.words_of((r.text or "").encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
@@ -73,3 +75,5 @@ def test_stages_keep_the_columns(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_copies", "decontaminate", "mix", "shard"]
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs.limit(30), SF).columns == docs.columns
+        more = docs.limit(30).drop("n_chars").withColumn("_id", F.lit("x")).withColumn("score", F.lit(1))
+        assert stage(spark, more, SF).columns == more.columns  # columns beyond those of documents pass

@@ -61,7 +61,6 @@ def magnitude(col: Column, bits: int) -> Column:
 
 def hilbert_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", categories: tuple[str, ...] = ("lang", "source"), bits: int = 4, slices: int = 1024) -> DataFrame:
     """One row per input row: id, size, text_crc32, cell, hilbert, shard, slot; shard counts differ by one at most."""
-    spark = docs.sparkSession
     text = c.text_of(text_col)
     size = F.octet_length(text).cast("long") + 1
     dims = [category(F.col(x), bits) for x in categories] + [magnitude(size, bits)]
@@ -71,7 +70,8 @@ def hilbert_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(text.cast("binary")).alias("crc"), cell.alias("cell"))
     rows = rows.withColumn("hash", F.xxhash64("id", "crc", "size")).withColumn("slice", F.pmod("hash", F.lit(slices)).cast("int"))
     # the table of cells has a fixed size, whatever the input
-    table = spark.createDataFrame(list(enumerate(curve(bits, len(dims)))), "cell int, hilbert int")
+    along = F.split(F.lit(" ".join(map(str, curve(bits, len(dims))))), " ")
+    table = docs.sparkSession.range(1).select(F.posexplode(along).alias("cell", "hilbert")).select("cell", F.col("hilbert").cast("int"))
     rows = c.materialize(rows.join(F.broadcast(table), "cell"), "cells")
 
     counts = c.materialize(rows.groupBy("hilbert", "slice").agg(F.count("*").alias("n")), "counts")
