@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _common as c
 
-LEAF = 128
+LEAF = 256
 NO_ID = np.iinfo(np.int64).max
 FIELDS = ["ids", "rows", "kind", "data", "nodes", "boxes"]
 PACKED = pa.schema([("dim", pa.int32()), ("part", pa.int32()), *((f, pa.string() if f == "kind" else pa.binary()) for f in FIELDS)])
