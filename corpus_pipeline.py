@@ -1,6 +1,7 @@
 """The corpus pipeline: quality, near copies, benchmark passages, source mix, shards.
 
-Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of documents.
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns they are given, those of
+documents and any others.
 Stages work on every row that the stage before kept.  Ids may be null or repeat: rows meet their verdicts by id and a hash
 of their text.
 """
@@ -12,27 +13,25 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm import _common as c
 from tidemark.llm import decontaminate, hilbert_shard, mix_flow, ngram_jaccard, quality_fm
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier scores at its threshold or more."""
-    return quality_fm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(COLUMNS)
+    return quality_fm.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest id; wordless texts have no group and stay."""
-    return ngram_jaccard.first_of_groups(docs).select(COLUMNS)
+    return ngram_jaccard.first_of_groups(docs)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any benchmark passage."""
-    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(COLUMNS)
+    return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    return mix_flow.take(docs).select(COLUMNS)
+    return mix_flow.take(docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
