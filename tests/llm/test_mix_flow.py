@@ -73,3 +73,21 @@ def test_many_sources_are_planned_without_the_driver(spark):
     a = {r.doc_id: r for r in m.mix(df).collect()}
     b = {r.doc_id: r for r in m.mix(df, max_patterns=3).collect()}
     assert all(abs(a[i].target - b[i].target) < 1e-6 and a[i].taken == b[i].taken for i in a) and len(a) == len(b)
+
+
+def test_overlapping_sources_of_many_patterns(spark):
+    rng = random.Random(12)
+    rows = []
+    for i in range(300):
+        block = rng.randrange(5)  # sources of a block overlap, blocks do not
+        own = rng.sample([f"b{block}s{j}" for j in range(3)] + [None] * (block == 4), rng.randint(1, 3)) if i % 31 else []
+        rows.append((i, "w " * rng.randint(0, 20), own))
+    rows += [(900, "a b c", None), (901, None, ["b0s0"]), (902, "a b", ["b0s0", "b0s0"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source array<string>")
+    a, b = ({r.doc_id: r for r in m.mix(df, max_patterns=most).collect()} for most in (100_000, 3))
+    assert set(a) == set(b) == {r[0] for r in rows}
+    for i in a:
+        assert (a[i].size, a[i].source_size) == (b[i].size, b[i].source_size) and abs(a[i].target - b[i].target) < 1e-6
+        assert 0 <= b[i].taken <= 2 * b[i].size
+    total = lambda out: sum(r.taken for r in out.values())
+    assert abs(total(a) - total(b)) <= 20 * 5  # flows of equal cost may differ by documents at their edges

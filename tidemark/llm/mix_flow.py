@@ -6,11 +6,13 @@ cost k, so costs are convex and fresh words go before repeated ones.  The flow f
 pattern gives; a seeded order of the pattern's documents then decides which documents those are: a document is in a
 layer if at least its first half lies within the layer's flow, so a pattern misses its flow by half a document at most.
 
-Only sums by pattern reach the driver, `max_patterns` of them at most (checked).  Beyond that, disjoint sources are
-planned by sums without collecting them; more patterns of overlapping sources are an error.  Running sums use two levels, slices by hash and rows within a slice, so that a source
+Only sums by pattern reach the driver, `max_patterns` of them at most (checked).  Beyond that targets come from sums,
+connected components part the network, and each part's flow is a task of its own, the same flow as before; a part that
+is a single source needs no network, since its layers fill up in order.  Running sums use two levels, slices by hash and rows within a slice, so that a source
 with most of the rows is spread over `16 ** digits` slices.
 
-Edge cases: null text has no words and is never taken; the null source is a source like others, last in order;
+Edge cases: null text has no words and is never taken; a null or empty array of sources has no target and gives no
+words; the null source is a source like others, last in order;
 repeated rows are taken or left one by one in a fixed order; a null id is kept; extra columns are ignored; an empty
 table gives an empty mix.
 """
@@ -19,6 +21,7 @@ from __future__ import annotations
 
 from collections import defaultdict, deque
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -142,12 +145,13 @@ def _plan_flow(patterns: DataFrame, share: float, repeats: int) -> DataFrame:
     return patterns.sparkSession.createDataFrame(table, "key string, source_size long, target double, amounts array<long>")
 
 
-def _plan_apart(sources: DataFrame, share: float, repeats: int) -> DataFrame:
-    """The same for any number of disjoint sources, without collecting them: the flow of a network of single edges is known
-    (layers fill up in order), and the level of all targets, target = least(level * weight, cap), is found by sums."""
-    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(Window.orderBy(F.col("pattern")[0].asc_nulls_last())) - 1) % len(WEIGHTS) + 1).cast("int"))
-    rows = c.materialize(sources.select("key", "words", w.alias("w"), (F.col("words") * repeats).alias("cap")), "weighed")
-    budget, level = share * (rows.agg(F.sum("words")).first()[0] or 0), -1.0
+def _levels(sizes: DataFrame, budget: float, repeats: int) -> DataFrame:
+    """(source, size) with `target`, as `targets` finds them, for any number of sources: target = least(level * weight, cap),
+    and the level is found by sums."""
+    nth = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    w = F.element_at(F.array(*map(F.lit, WEIGHTS)), (nth % len(WEIGHTS) + 1).cast("int"))
+    rows = c.materialize(sizes.select("source", "size", w.alias("w"), (F.col("size") * repeats).alias("cap")), "weighed")
+    level = -1.0
     while True:
         full = F.col("cap") < F.lit(level) * F.col("w")
         done, open_ = rows.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("w")))).first()
@@ -155,9 +159,46 @@ def _plan_apart(sources: DataFrame, share: float, repeats: int) -> DataFrame:
         if new <= level:
             break
         level = new
-    target = F.least(F.lit(level) * F.col("w"), F.col("cap").cast("double"))
-    layers = F.array(*(F.greatest(F.lit(0), F.least(F.col("words"), F.bround(target).cast("long") - F.col("words") * k)) for k in range(repeats)))
-    return rows.select("key", F.col("words").alias("source_size"), target.alias("target"), layers.alias("amounts"))
+    return rows.select("source", "size", F.least(F.lit(level) * F.col("w"), F.col("cap").cast("double")).alias("target"))
+
+
+def _flow_of_part(repeats: int):
+    """The amounts of a connected part's patterns."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        supply = {tuple(r["pattern"]): r["words"] for r in rows}
+        quota = {s["source"]: round(s["target"]) for r in rows for s in r["goals"]}
+        amounts = defaultdict(lambda: [0] * repeats)
+        for (p, k, _), words in min_cost_flow(supply, quota, repeats).items():
+            amounts[p][k] += words
+        return pa.table({"key": pa.array([r["key"] for r in rows], pa.string()), "amounts": pa.array([amounts[tuple(r["pattern"])] for r in rows], pa.list_(pa.int64()))})
+
+    return run
+
+
+def _plan_parts(patterns: DataFrame, share: float, repeats: int) -> DataFrame:
+    """The same as `_plan_flow` for any number of patterns, without collecting them."""
+    budget = share * (patterns.agg(F.sum("words")).first()[0] or 0)
+    each = c.materialize(patterns.select("key", "words", F.explode("pattern").alias("source")), "each")
+    goals = c.materialize(_levels(each.groupBy("source").agg(F.sum("words").alias("size")), budget, repeats), "goals")
+    node = lambda x, mark: F.xxhash64(F.lit(mark), x.isNull(), x)
+    linked = each.join(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi")
+    linked = linked.select(node(F.col("key"), "pattern").alias("a"), node(F.col("source"), "source").alias("b"))
+    parts = c.components(linked)
+    placed = each.join(goals, each.source.eqNullSafe(goals.source)).select("key", each.source, "words", "size", "target", node(each.source, "source").alias("node"))
+    placed = placed.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    one = F.min(F.struct(F.col("source").isNull().alias("none"), "source", "size", "target"))
+    full = placed.groupBy("key").agg(F.any_value("words").alias("words"), F.any_value("part").alias("part"), F.collect_list(F.struct("source", "target")).alias("goals"), one.alias("least"))
+    full = c.materialize(full.join(patterns.select("key", "pattern"), "key"), "parts")
+    single = full.groupBy("part").agg(F.count("*").alias("n"), F.max(F.size("pattern")).alias("wide")).withColumn("alone", (F.col("n") == 1) & (F.col("wide") == 1)).select("part", "alone")
+    full = c.materialize(full.join(single, "part"), "single")
+    own = F.array(*(F.greatest(F.lit(0), F.least(F.col("words"), F.bround("least.target").cast("long") - F.col("words") * k)) for k in range(repeats)))
+    flows = full.where("not alone").select("part", "key", "pattern", "words", "goals").groupBy("part").applyInArrow(_flow_of_part(repeats), "key string, amounts array<long>")
+    amounts = flows.union(full.where("alone").select("key", own.alias("amounts")))
+    none = patterns.where(F.size("pattern") == 0).select("key", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.array_repeat(F.lit(0).cast("long"), repeats).alias("amounts"))
+    planned = amounts.join(full.select("key", F.col("least.size").alias("source_size"), F.col("least.target").alias("target")), "key")
+    return planned.select("key", "source_size", "target", "amounts").union(none)
 
 
 def drawn(id_col: str, text_col: str, source_col: str, seed: str):
@@ -173,7 +214,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     then those of the pattern's least source)."""
     many = dict(docs.dtypes)[source_col].startswith("array")
     text = c.text_of(text_col)
-    pattern = F.array_sort(F.array_distinct(F.col(source_col))) if many else F.array(F.col(source_col).cast("string"))
+    pattern = F.array_sort(F.array_distinct(F.coalesce(F.col(source_col), F.expr("cast(array() as array<string>)")))) if many else F.array(F.col(source_col).cast("string"))
     rows = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"), pattern.alias("pattern"), drawn(id_col, text_col, source_col, seed).alias("draw"))
     # a null within a pattern has a name no other value has
     key = F.to_json(F.struct(F.transform("pattern", lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("null"))).alias("p")))
@@ -182,9 +223,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sums = c.materialize(rows.groupBy("key", "slice").agg(F.sum("size").alias("words"), F.any_value("pattern").alias("pattern")), "sums")
     patterns = sums.groupBy("key").agg(F.sum("words").alias("words"), F.any_value("pattern").alias("pattern"))
     if patterns.limit(max_patterns + 1).count() > max_patterns:
-        if many:
-            raise ValueError(f"more than {max_patterns} patterns of overlapping sources: the flow's network does not fit the driver")
-        plan = _plan_apart(c.materialize(patterns, "sources"), share, repeats)
+        plan = _plan_parts(c.materialize(patterns, "patterns"), share, repeats)
     else:
         plan = _plan_flow(patterns, share, repeats)
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
