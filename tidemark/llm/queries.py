@@ -10,13 +10,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .ngram_jaccard import similar_groups
-
-    return similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
-
-
-def op1_ngram_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same join with the class of each document, named by its smallest id, and the number of documents it links to."""
+    """With the class of each document, named by its smallest id, and the number of documents it links to."""
     from .ngram_jaccard import similar_groups
 
     out = similar_groups(_table(spark, sf_dir, "documents"), count_links=True)
@@ -77,7 +71,7 @@ def op10_mix_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(mix(_table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op1_ngram_jaccard_links, op2_decontaminate, op3_credential_links, op4_quality_fm, op5_kdtree_topk, op6_pii_crf, op7_url_bloom, op8_warc_normalise, op9_hilbert_shard, op10_mix_flow)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_decontaminate, op3_credential_links, op4_quality_fm, op5_kdtree_topk, op6_pii_crf, op7_url_bloom, op8_warc_normalise, op9_hilbert_shard, op10_mix_flow)}
 
 UPPER_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 DRAW = "md5('mix|' || coalesce('=' || doc_id, '') || '|' || md5(coalesce(text, '')) || '|' || coalesce('=' || source, ''))"
@@ -112,15 +106,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_ngram_jaccard": rf"""
 WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
-n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
-p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
-e AS (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
-c(a, b) AS (SELECT r, r FROM w UNION SELECT c.a, t.b FROM c JOIN (SELECT a, b FROM e UNION ALL SELECT b, a FROM e) t ON c.b = t.a),
-m AS (SELECT c.a AS r, min(w.doc_id) AS component_id FROM c JOIN w ON w.r = c.b GROUP BY 1)
-SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM w LEFT JOIN n USING (r) JOIN m USING (r)""",
-    "op1_ngram_jaccard_links": rf"""
-WITH RECURSIVE w AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), {UPPER_LOWER}), '[^\x20\x09-\x0D]+') AS ws FROM documents),
-s AS (SELECT DISTINCT r, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
 n AS (SELECT r, count(*) AS n, md5(string_agg(g, chr(10) ORDER BY g)) AS h FROM s GROUP BY r),
 p AS (SELECT a.r AS a, b.r AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
 e AS MATERIALIZED (SELECT a, b FROM (SELECT a, b FROM p JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE 100 * k >= 80 * (x.n + y.n - k))),
