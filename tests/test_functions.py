@@ -73,3 +73,38 @@ def test_ratios_flags_and_scores(spark):
     L = F.lit
     row = one(spark, scoring.safe_ratio(L(3), L(0)), scoring.capped_ratio(L(3.0), L(0.0)), scoring.capped_ratio(L(300.0), L(2.0)), scoring.stability(L(0.0), L(1.0), L(5)), scoring.recent_delinquency(L(180), L(30)), scoring.thin_file(L(1), L(364)), scoring.days_since(L("2026-03-01T23:00:00-05:00"), L("2026-02-01")), scoring.days_since(L("2026-03-01"), L(None)), scoring.logistic(L(1000.0)), scoring.logistic(L(0.0)), scoring.decision(L(0.1)), scoring.decision(L(0.3)))
     assert list(row) == [None, 10.0, 10.0, 0.0, 1, 1, 28, 9999, 1.0, 0.5, "review", "decline"]
+
+
+def test_rounding_equals_python_on_ties_and_edges(spark):
+    import random
+
+    from tidemark.functions import scoring
+
+    rng = random.Random(1)
+    xs = [0.0, -0.0, 0.0078125, 0.0234375, -0.0078125, 0.1234565, 2.5e-7, 5e-7, 1.5e-6, -1234.5678905, 4294967295.1234567, 1e15, -3e300]
+    xs += [rng.uniform(-1, 1) * 10 ** rng.randint(-7, 9) for _ in range(3000)] + [round(rng.uniform(0, 100), 6) + 5e-7 for _ in range(3000)] + [rng.randint(0, 10**6) / 128 for _ in range(1000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = [(r.x, r.y) for r in df.select("x", scoring.round_exact(df.x).alias("y")).collect()]
+    assert all(y == round(x, 6) for x, y in got if abs(x) < 2**32), [(x, y, round(x, 6)) for x, y in got if y != round(x, 6)][:5]
+    assert all(y == x for x, y in got if abs(x) >= 2**32)
+
+
+def test_digests_and_payloads(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    import pytest
+
+    from tidemark.operators import models
+    from tidemark.sources import readers
+
+    pinned = "sha256:" + hashlib.sha256(b"m").hexdigest()
+    assert models.check_digest(b"m", pinned) == pinned
+    with pytest.raises(ValueError, match="pinned"):
+        models.check_digest(b"n", pinned)
+    (tmp_path / "a.json.gz").write_bytes(gzip.compress(b'{"x": 1}'))
+    objects = readers.payload_objects(spark, str(tmp_path))
+    uri = objects.first().storage_uri
+    assert readers.payload(objects, uri) == '{"x": 1}'
+    with pytest.raises(KeyError):
+        readers.payload(objects, "none")

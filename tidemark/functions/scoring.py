@@ -7,10 +7,14 @@ from pyspark.sql import functions as F
 
 
 def trailing(periods: Column, n: int, by: str = "period", value: str = "taxable_income") -> Column:
-    """The last n values of an array of structs, sorted by its period."""
+    """The last n values of an array of structs, sorted by its period.  Sorting is dear: take the longest once, as a column,
+    and shorter ones from it by `last`."""
     ordered = F.array_sort(F.transform(periods, lambda p: F.struct(p[by].alias("by"), p[value].cast("double").alias("value"))))
-    values = F.transform(ordered, lambda p: p["value"])
-    return F.slice(values, F.greatest(F.size(values) - n + 1, F.lit(1)), F.lit(n))
+    return F.transform(last(ordered, n), lambda p: p["value"])
+
+
+def last(xs: Column, n: int) -> Column:
+    return F.slice(xs, F.greatest(F.size(xs) - n + 1, F.lit(1)), F.lit(n))
 
 
 def total(xs: Column) -> Column:
@@ -45,6 +49,22 @@ def days_since(report_text: Column, last_text: Column, never: int = 9999) -> Col
     return F.coalesce(F.datediff(F.to_date(F.left(report_text, F.lit(10))), F.to_date(F.left(last_text, F.lit(10)))), F.lit(never))
 
 
+def round_exact(x: Column, digits: int = 6) -> Column:
+    """A double rounded at its exact binary value, ties to even, where Spark's round() looks at its shortest decimal text.
+
+    x times the scale is taken as a rounded product and its exact error (Dekker's product; the scale has few digits, so
+    only x is split).  Above 2^32 six digits are beyond a double's, and x stays."""
+    scale = 2.0 * 10**digits
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    twice = x * scale
+    error = (high * scale - twice) + (x - high) * scale  # x * scale == twice + error
+    low = F.floor(twice / 2).cast("double")
+    rest = twice / 2 - low - 0.5
+    even = low % 2 == 0
+    whole = F.when((rest > 0) | ((rest == 0) & (error > 0)) | ((rest == 0) & (error == 0) & ~even), low + 1).otherwise(low)
+    return F.when(F.abs(x) < float(1 << 32), whole / float(10**digits)).otherwise(x)
+
+
 def safe_ratio(x: Column, base: Column) -> Column:
     """x / base, null where the base is null or 0."""
     return F.try_divide(x, F.nullif(base, F.lit(0)))

@@ -38,13 +38,14 @@ def _running(observations: DataFrame, rows: DataFrame, keys: Sequence[str], valu
     merge = {name: (F.sum if name.startswith("n_") else F.max) for name in values}
     rows = rows.withColumn("_b", _bucket(F.col("_t"), bucket_seconds))
     observations = observations.withColumn("_b", _bucket(F.col("_t"), bucket_seconds))
-    sums = rows.groupBy(*keys, "_b").agg(*(c.alias(n) for n, c in values.items()))
+    # rows of a key, bucket and time first; the bucket's sums come from them without another pass over the history
+    fed = {n: f"_fed_{n}" for n in values}
+    left = rows.groupBy(*keys, "_b", "_t").agg(*(c.alias(fed[n]) for n, c in values.items())).withColumn("_kind", F.lit(0))
+    sums = left.groupBy(*keys, "_b").agg(*(merge[n](fed[n]).alias(n) for n in values))
     marks = sums.unionByName(observations.select(*keys, "_b").distinct(), allowMissingColumns=True)
     marks = marks.groupBy(*keys, "_b").agg(*(merge[n](n).alias(n) for n in values))
     earlier = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     carried = marks.select(*keys, "_b", *(merge[n](n).over(earlier).alias(f"_carried_{n}") for n in values))
-    fed = {n: f"_fed_{n}" for n in values}
-    left = rows.groupBy(*keys, "_b", "_t").agg(*(c.alias(fed[n]) for n, c in values.items())).withColumn("_kind", F.lit(0))
     both = left.unionByName(observations.withColumn("_kind", F.lit(1)), allowMissingColumns=True)
     upto = Window.partitionBy(*keys, "_b").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = both.select("*", *(merge[n](fed[n]).over(upto).alias(f"_own_{n}") for n in values)).where("_kind = 1")

@@ -101,3 +101,14 @@ def tall_rows(wide: DataFrame, features: Mapping[str, tuple[str, str]], ids: Seq
 def import_summary(tall: DataFrame, n_written: Column | None = None) -> DataFrame:
     """One row: candidate cells, missing, bad and good ones."""
     return tall.agg(F.count("*").alias("n_cells"), F.count_if("missing").alias("n_missing"), F.count_if("error").alias("n_bad"), F.count_if(~F.col("missing") & ~F.col("error")).alias("n_values"))
+
+
+def import_accounting(items: DataFrame, tall: DataFrame, online_written: int | None = None) -> DataFrame:
+    """One row for a whole import: candidates, written, duplicate, rejected and missing cells, latest values written, and a
+    warning where latest values were asked for and their number differs from what history took."""
+    cells = tall.agg(F.count("*").alias("candidates"), F.count_if("missing").alias("missing"))
+    states = items.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("written", "duplicate", "rejected")))
+    both = cells.unionByName(states, allowMissingColumns=True)
+    out = both.agg(*(F.max(c).alias(c) for c in both.columns)).withColumn("online_written", F.lit(online_written).cast("long"))
+    text = F.concat(F.lit("history took "), F.col("written").cast("string"), F.lit(" rows, the latest-value table "), F.col("online_written").cast("string"))
+    return out.withColumn("warning", F.when(F.col("online_written") != F.col("written"), text))

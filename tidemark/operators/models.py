@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
@@ -43,6 +44,14 @@ def predict(rows: DataFrame, features: Sequence[str], model: Predict, output: st
     return rows.mapInPandas(run, StructType([*rows.schema.fields, StructField(output, DoubleType())]))
 
 
+def check_digest(content: bytes, expected: str) -> str:
+    """The digest `sha256:<hex>` of a model's content; ValueError where it is not the pinned one."""
+    found = f"sha256:{hashlib.sha256(content).hexdigest()}"
+    if found != expected:
+        raise ValueError(f"the model's digest is {found}, the pinned one {expected}")
+    return found
+
+
 def linear_score(weights: Mapping[str, float], bias: float) -> Callable[[Mapping[str, Column]], Column]:
     """A linear model as a JVM expression, for models that need no Python."""
     from ..functions.scoring import logistic

@@ -31,7 +31,7 @@ FIELDS = {
 
 
 def _six(x: Column) -> Column:
-    return F.round(x, 6)
+    return scoring.round_exact(x.cast("double"))
 
 
 def _months(n: int):

@@ -592,9 +592,10 @@ t AS (SELECT o_custkey, xs[-12:] AS x12, xs[-6:] AS x6, xs[-3:] AS x3 FROM p)
 SELECT o_custkey, round(list_sum(x3) / 3, 6) AS avg3, round(list_sum(x6) / 6, 6) AS avg6, round(list_sum(x12) / 12, 6) AS avg12, CAST(len(list_filter(x12, lambda x: x > 0)) AS BIGINT) AS months, round(coalesce(sqrt(greatest(list_avg(list_transform(x12, lambda x: x * x)) - list_avg(x12) * list_avg(x12), 0)), 0), 3) AS std,
  CASE WHEN list_sum(x6) / 6 <= 0 THEN 0.0 ELSE round((coalesce(list_sum(x6[4:6]), 0) / 3 - list_sum(x6[:3]) / 3) / (list_sum(x6) / 6), 6) END AS trend FROM t""")
 def trailing_stats(spark, d):
-    p = F.col("periods")
-    x12, x6, x3 = (scoring.trailing(p, n) for n in (12, 6, 3))
-    return incomes(spark, d).select("o_custkey", F.round(scoring.fixed_mean(x3, 3), 6).alias("avg3"), F.round(scoring.fixed_mean(x6, 6), 6).alias("avg6"), F.round(scoring.fixed_mean(x12, 12), 6).alias("avg12"), scoring.count_positive(x12).cast("long").alias("months"), F.round(scoring.spread(x12), 3).alias("std"), F.round(scoring.trend(x6), 6).alias("trend"))
+    x12, x6, x3 = (F.col(f"x{n}") for n in (12, 6, 3))
+    rows = incomes(spark, d).withColumn("x12", scoring.trailing(F.col("periods"), 12))
+    rows = rows.withColumns({f"x{n}": scoring.last(x12, n) for n in (6, 3)})
+    return rows.select("o_custkey", F.round(scoring.fixed_mean(x3, 3), 6).alias("avg3"), F.round(scoring.fixed_mean(x6, 6), 6).alias("avg6"), F.round(scoring.fixed_mean(x12, 12), 6).alias("avg12"), scoring.count_positive(x12).cast("long").alias("months"), F.round(scoring.spread(x12), 3).alias("std"), F.round(scoring.trend(x6), 6).alias("trend"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_nationkey = 0 THEN NULL ELSE round(c_acctbal / c_nationkey, 6) END AS ratio, CASE WHEN c_acctbal <= 0 THEN 10.0 ELSE round(least(c_nationkey * 1000 / c_acctbal, 10.0), 6) END AS capped FROM customer")
@@ -922,3 +923,21 @@ def training_export_nested(spark, d):
     wide = training.training_set(observations(spark, d), event_history(spark, d), ["entity_key"], dict.fromkeys(TYPES, 1), known=_known(), bucket_seconds=BUCKET)
     rows = training.nested_rows(wide, ["entity_key"], list(TYPES), context=["obs_id"])
     return rows.select("context.obs_id", "observation_ts", *(c for t in TYPES for c in (F.col(f"features.{t}").alias(f"{t}_value"), F.col(f"feature_metadata.{t}.status").alias(f"{t}_status"))))
+
+
+@query("SELECT l_orderkey * 10 + l_linenumber AS line, CAST(round_even(CAST(CAST(l_extendedprice AS DECIMAL(18, 2)) AS DECIMAL(38, 6)) / 1, 6) AS DOUBLE) AS price, round(l_extendedprice / 7, 6) AS seventh FROM lineitem")
+def rounded_prices(spark, d):
+    """Rounding at the exact value: of prices in cents and of sevenths, which lie on no tie."""
+    price = F.col("l_extendedprice").cast("double")
+    return table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), scoring.round_exact(price).alias("price"), scoring.round_exact(price / 7).alias("seventh"))
+
+
+@query("""WITH t AS (SELECT c_custkey, unnest([CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE 1 END, 1]) AS v FROM customer)
+SELECT count(*) AS candidates, count(*) FILTER (WHERE v IS NULL) AS missing, (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 0) AS written, (SELECT count(*) FROM customer WHERE c_custkey % 4 = 0) AS duplicate, CAST(0 AS BIGINT) AS rejected, CAST(5 AS BIGINT) AS online_written,
+ CASE WHEN (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 0) <> 5 THEN 'history took ' || (SELECT count(*) FROM customer WHERE c_custkey % 4 <> 0) || ' rows, the latest-value table 5' END AS warning FROM t""")
+def import_accounting(spark, d):
+    c = table(spark, d, "customer")
+    n = F.col("c_custkey")
+    tall = imports.tall_rows(c.select(n, F.when(n % 3 != 0, 1).alias("a"), F.lit(1).alias("b")), {"x": ("a", "int"), "y": ("b", "int")}, ["c_custkey"])
+    items = c.select(F.when(n % 4 == 0, "duplicate").otherwise("written").alias("status"))
+    return imports.import_accounting(items, tall, 5)

@@ -29,6 +29,14 @@ def payload_objects(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("storage_uri"), F.col("value").alias("payload_json"))
 
 
+def payload(objects: DataFrame, storage_uri: str) -> str:
+    """One payload by name; KeyError where there is none."""
+    found = objects.where(F.col("storage_uri") == storage_uri).select("payload_json").head()
+    if found is None:
+        raise KeyError(f"no payload {storage_uri!r}")
+    return found[0]
+
+
 def event_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
     """A stream of JSON-line event files as raw text; nothing is dropped for being late."""
     reader = spark.readStream
