@@ -229,7 +229,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     before = Window.partitionBy("key").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("key", "slice", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
     order = Window.partitionBy("key", "slice").orderBy("draw", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = rows.select("id", "size", "key", "slice", "draw").withColumn("sum", F.sum("size").over(order)).join(starts, ["key", "slice"]).join(plan, "key")
+    placed = rows.select("id", "size", "key", "slice", "draw").withColumn("sum", F.sum("size").over(order)).join(starts.hint("merge"), ["key", "slice"]).join(plan, "key")
+    # merged, not broadcast: rows lie by key and slice already, and the table of slices grows with the sources
     middle = (F.col("start") + F.col("sum") - F.col("size")) * 2 + F.col("size")
     times = F.when(F.col("size") > 0, F.size(F.filter("amounts", lambda a: middle <= a * 2))).otherwise(0)
     return placed.select(F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * times).cast("long").alias("taken"), times.cast("int").alias("times"), "draw")
