@@ -89,6 +89,29 @@ def test_rounding_equals_python_on_ties_and_edges(spark):
     assert all(y == x for x, y in got if abs(x) >= 2**32)
 
 
+def test_scaled_rounding_equals_c(spark):
+    rng = random.Random(2)
+    xs = [0.0, -0.0, 5e-7, -5e-7, 1.5e-6, 2.5e-6, -2.5e-6, 0.49999949999999997, 1e15, 9.1e15, -3e300, 1e305, -1e305, math.inf, -math.inf]
+    xs += [rng.uniform(-1, 1) * 10 ** rng.randint(-8, 20) for _ in range(3000)] + [s * (rng.randint(0, 10**6) + 0.5) / 1e6 for s in (1, -1) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+
+    def want(x):
+        y = x * 1e6
+        if math.isinf(y):
+            return x
+        whole = math.trunc(y)
+        return math.copysign(abs(whole) + (abs(y - whole) >= 0.5), y) / 1e6
+
+    got = [(r.x, r.y) for r in df.select("x", scoring.round_scaled(df.x).alias("y")).collect()]
+    assert [(x, y, want(x)) for x, y in got if repr(y) != repr(want(x))] == []
+    assert math.isnan(one(spark, scoring.round_scaled(F.lit(math.nan)))[0])
+    assert one(spark, scoring.round_scaled(F.lit(None).cast("double")))[0] is None
+
+
+def test_days_need_a_report_date(spark):
+    assert list(one(spark, scoring.days_since(F.lit(None).cast("string"), F.lit("2026-02-01")), scoring.days_since(F.lit(None).cast("string"), F.lit(None)))) == [None, 9999]
+
+
 def test_digests_and_payloads(spark, tmp_path):
     import gzip
     import hashlib

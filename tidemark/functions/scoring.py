@@ -45,8 +45,8 @@ def count_positive(xs: Column) -> Column:
 
 
 def days_since(report_text: Column, last_text: Column, never: int = 9999) -> Column:
-    """Whole days between two ISO texts by their own dates, `never` where there is no last one."""
-    return F.coalesce(F.datediff(F.to_date(F.left(report_text, F.lit(10))), F.to_date(F.left(last_text, F.lit(10)))), F.lit(never))
+    """Whole days between two ISO texts by their own dates, `never` where there is no last one; null without a report's date."""
+    return F.when(last_text.isNull(), F.lit(never)).otherwise(F.datediff(F.to_date(F.left(report_text, F.lit(10))), F.to_date(F.left(last_text, F.lit(10)))))
 
 
 def round_exact(x: Column, digits: int = 6) -> Column:
@@ -65,6 +65,16 @@ def round_exact(x: Column, digits: int = 6) -> Column:
     return F.when(F.abs(x) < float(1 << 32), whole / float(10**digits)).otherwise(x)
 
 
+def round_scaled(x: Column, digits: int = 6) -> Column:
+    """A double rounded as SQL engines in C do: the double product x * 10^digits to the nearest whole number, ties away from
+    zero, and divided again; x where the product overflows."""
+    scale = float(10**digits)
+    product = x * scale
+    near = F.rint(product)
+    whole = F.when((product > 0) & (product - near == 0.5), near + 1).when((product < 0) & (product - near == -0.5), near - 1).otherwise(near)
+    return F.when(F.abs(product) == float("inf"), x).otherwise(whole / scale)
+
+
 def safe_ratio(x: Column, base: Column) -> Column:
     """x / base, null where the base is null or 0."""
     return F.try_divide(x, F.nullif(base, F.lit(0)))

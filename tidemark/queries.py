@@ -839,8 +839,8 @@ def risk_functions(spark, d):
     day = F.date_format("o_orderdate", "yyyy-MM-dd'T'HH:mm:ss'+05:00'")
     since = scoring.days_since(day, F.lit("1995-01-01T23:59:59Z"))
     return table(spark, d, "orders").select(
-        "o_orderkey", scoring.days_since(day, F.when(n % 9 != 0, F.lit("1995-01-01"))).cast("long").alias("days"), F.round(scoring.stability(price, F.lit(500.0), m), 6).alias("stability"),
-        scoring.recent_delinquency(since, n % 90).alias("delinquent"), scoring.thin_file(n % 4, F.col("o_custkey") % 1000).alias("thin"), F.round(scoring.blend([(price / 200000, 0.5), (m.cast("double") / 10, 0.25)]), 6).alias("risk"),
+        "o_orderkey", scoring.days_since(day, F.when(n % 9 == 0, None).otherwise("1995-01-01")).cast("long").alias("days"), scoring.round_scaled(scoring.stability(price, F.lit(500.0), m)).alias("stability"),
+        scoring.recent_delinquency(since, n % 90).alias("delinquent"), scoring.thin_file(n % 4, F.col("o_custkey") % 1000).alias("thin"), scoring.round_scaled(scoring.blend([(price / 200000, 0.5), (m.cast("double") / 10, 0.25)])).alias("risk"),
     )
 
 
