@@ -65,12 +65,13 @@ def _running(observations: DataFrame, rows: DataFrame, keys: Sequence[str], valu
 
 def as_of(observations: DataFrame, history: DataFrame, keys: Sequence[str], features: Sequence[str], *, obs_ts: str = "observation_ts", feature: str = "feature_name", value: Sequence[str] = ("value",), gap_seconds: int = 0, known: Column | None = None, row_id: str = "row_id", bucket_seconds: int = 30 * 86400) -> DataFrame:
     """One row per observation, a struct column per feature (or null): data_ts, calc_ts, row_id and the `value` columns
-    of the eligible row with the greatest (data_ts, calc_ts, row_id)."""
+    of the eligible row with the greatest (data_ts, calc_ts, row_id); of rows equal in these, that with the greatest values.
+    A row without a data_ts or without a known time is never eligible."""
     known = known if known is not None else F.col("calc_ts")
-    rows = history.where(F.col(feature).isin(*features))
+    rows = history.where(F.col(feature).isin(*features) & F.col("data_ts").isNotNull() & known.isNotNull())  # greatest() skips nulls
     start = F.greatest(F.col("data_ts") + F.make_interval(secs=F.lit(gap_seconds)), known)
     best = F.struct("data_ts", "calc_ts", F.col(row_id).alias("row_id"), *value)
-    rows = rows.select(*keys, F.col(feature).alias("_feature"), start.alias("_t"), best.alias("_row")).where(F.col("_t").isNotNull())
+    rows = rows.select(*keys, F.col(feature).alias("_feature"), start.alias("_t"), best.alias("_row"))
     values = {name: F.max(F.when(F.col("_feature") == name, F.col("_row"))) for name in features}
     return _running(observations.withColumn("_t", F.col(obs_ts)), rows, keys, values, bucket_seconds)
 

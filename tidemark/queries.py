@@ -101,8 +101,11 @@ o AS (SELECT c_custkey AS k, TIMESTAMP '1999-06-01' AS t FROM customer),
 r AS (SELECT o.k, h.row_id, h.v, row_number() OVER (PARTITION BY o.k ORDER BY h.data_ts DESC, h.known DESC, h.row_id DESC) AS rn FROM o JOIN h ON o.k = h.k AND h.data_ts <= o.t AND h.known <= o.t)
 SELECT o.k AS custkey, r.row_id AS line_id, r.v AS quantity FROM o LEFT JOIN r ON o.k = r.k AND rn = 1""")
 def pit_available_at(spark, d):
-    """A customer's last order line that had shipped by a date: availability is the ship date; ties go to the last row."""
-    lines = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    """A customer's last order line that had shipped by a date: availability is the ship date; ties go to the last row.
+
+    Lines of one order can share number and ship date.  Among these the SQL takes any; here the greatest quantity counts."""
+    orders = table(spark, d, "orders").where("o_custkey IS NOT NULL")
+    lines = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     hist = lines.select(F.col("o_custkey").alias("k"), F.lit("q").alias("feature_name"), F.col("l_quantity").alias("value"), F.col("o_orderdate").alias("data_ts"), F.col("l_shipdate").alias("calc_ts"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row_id"))
     obs = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.lit("1999-06-01").cast("timestamp_ntz").alias("observation_ts"))
     out = asof.as_of(obs, hist, ["k"], ["q"], bucket_seconds=180 * 86400)
